@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vekspar.llm import pii, quality, secrets
+from vekspar.llm import decontaminate, jaccard, mixing, pii, quality, secrets, warc
 from vekspar.llm.common import table
 
 
@@ -19,6 +19,24 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(warc.record_types(table(spark, sf_dir, "pages")))
+    got = warc.read_archives(archives)
+    return got.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"), "record_id", "warc_date")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] != "guess")
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
