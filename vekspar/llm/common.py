@@ -121,3 +121,43 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+class Links:
+    """Weighted link counts and a spanning forest of the rows of a task, from tiles of a boolean link matrix."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.count, self.parent = weights, np.zeros(len(weights), np.int64), list(range(len(weights)))
+
+    def root(self, i: int) -> int:
+        p = self.parent
+        while p[i] != i:
+            p[i] = p[p[i]]
+            i = p[i]
+        return i
+
+    def add(self, hit: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> None:
+        """hit[a, b]: rows[a] and cols[b] are linked. same: rows and cols are the same, so each link comes twice."""
+        if not hit.any():
+            return
+        self.count[rows] += hit @ self.weights[cols]
+        if not same:
+            self.count[cols] += hit.T @ self.weights[rows]
+        none = len(rows)
+        lab_r, lab_c = np.arange(none), np.full(len(cols), none)
+        while True:  # the smallest label over the tile's links
+            new_c = np.minimum(lab_c, np.where(hit, lab_r[:, None], none).min(0))
+            new_r = np.minimum(lab_r, np.where(hit, new_c[None], none).min(1))
+            if (new_r == lab_r).all() and (new_c == lab_c).all():
+                break
+            lab_r, lab_c = new_r, new_c
+        for at, labels in ((rows, lab_r), (cols, lab_c)):
+            for i in np.flatnonzero(labels < none):
+                p, q = self.root(int(at[i])), self.root(int(rows[labels[i]]))
+                if p != q:
+                    self.parent[p] = q
+
+    def rows(self, ids: np.ndarray) -> pa.RecordBatch:
+        """(id, links, other): each linked row's count here, and its root in the forest."""
+        keep = np.flatnonzero(self.count > 0)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(self.count[keep]), pa.array(ids[[self.root(int(i)) for i in keep]])], ["id", "links", "other"])

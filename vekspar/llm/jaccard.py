@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vekspar.llm.common import block_pairs, by_group, chunks, components, written
+from vekspar.llm.common import Links, block_pairs, by_group, chunks, components, written
 from vekspar.llm.words import mix, per_text, shingles, words
 
 SIMILARITY = 0.8
@@ -137,63 +137,34 @@ def candidates(c: DataFrame, similarity: float) -> DataFrame:
     return components(by_group(rows, ["band", "bi", "bj"], pairs, "a long, b long"))
 
 
-def _verify(ids: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], own: np.ndarray, within: bool, similarity: float) -> tuple[np.ndarray, list[int]]:
-    """For each class its weighted number of links in this block pair, and each one's parent in a spanning forest."""
+def _verify(weights: np.ndarray, sets: list[np.ndarray], own: np.ndarray, within: bool, similarity: float) -> Links:
+    """The exact links of a block pair, a tile of the product of its membership matrices at a time."""
     order = np.argsort(own, kind="stable")
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets])[order]
     flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1].astype(np.int32)
-    at = np.r_[0, np.cumsum(size[order])]
-    links, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    width = int(flat.max()) + 1 if len(flat) else 0
-    half = len(ids) if within else int((own[order] == own[order[0]]).sum())
+    at = np.r_[0, np.cumsum(size)]
+    links, width, n = Links(weights), int(flat.max()) + 1 if len(flat) else 0, len(order)
+    half = n if within else int((own == own[order[0]]).sum())
     rows = [(s, min(s + TILE, half)) for s in range(0, half, TILE)]
-    cols = rows if within else [(s, min(s + TILE, len(ids))) for s in range(half, len(ids), TILE)]
+    cols = rows if within else [(s, min(s + TILE, n)) for s in range(half, n, TILE)]
     for a, (r0, r1) in enumerate(rows):
-        left = np.repeat(np.arange(r1 - r0), size[order[r0:r1]])
-        in_left = np.zeros(width, bool)
-        in_left[flat[at[r0] : at[r1]]] = True
+        mine, in_left = flat[at[r0] : at[r1]], np.zeros(width, bool)
+        in_left[mine] = True
         for c0, c1 in cols[a if within else 0 :]:
-            mine, other = flat[at[r0] : at[r1]], flat[at[c0] : at[c1]]
-            col = np.zeros(width, np.int32)
-            ok = in_left[other]
-            shared = np.unique(other[ok])
-            if not len(shared):
-                continue
+            other, col = flat[at[c0] : at[c1]], np.zeros(width, np.int32)
+            shared = np.unique(other[in_left[other]])
             col[shared] = np.arange(1, len(shared) + 1)
-            x = np.zeros((r1 - r0, len(shared) + 1), np.float32)
-            y = np.zeros((c1 - c0, len(shared) + 1), np.float32)
-            x[left, col[mine]] = 1
-            y[np.repeat(np.arange(c1 - c0), size[order[c0:c1]]), col[other]] = 1
-            both = (x[:, 1:] @ y[:, 1:].T).astype(np.int64)
-            sizes = size[order[r0:r1]][:, None] + size[order[c0:c1]][None]
-            hit = (both >= similarity * (sizes - both) - 1e-9) & (both > 0)
-            if r0 == c0 and within:
+            x, y = (np.zeros((k, len(shared) + 1), np.float32) for k in (r1 - r0, c1 - c0))
+            x[np.repeat(np.arange(r1 - r0), size[r0:r1]), col[mine]] = 1
+            y[np.repeat(np.arange(c1 - c0), size[c0:c1]), col[other]] = 1
+            both = x[:, 1:] @ y[:, 1:].T
+            union = size[r0:r1][:, None] + size[c0:c1][None] - both
+            hit = (both >= similarity * union - 1e-4) & (both > 0)
+            same = within and r0 == c0
+            if same:
                 np.fill_diagonal(hit, False)
-            if not hit.any():
-                continue
-            links[order[r0:r1]] += hit @ weights[order[c0:c1]]
-            if not (r0 == c0 and within):
-                links[order[c0:c1]] += hit.T @ weights[order[r0:r1]]
-            lab_r, lab_c = np.arange(r1 - r0), np.full(c1 - c0, TILE)
-            while True:  # smallest label over the tile's links
-                new_c = np.minimum(lab_c, np.where(hit, lab_r[:, None], TILE).min(0))
-                new_r = np.minimum(lab_r, np.where(hit, new_c[None], TILE).min(1))
-                if (new_r == lab_r).all() and (new_c == lab_c).all():
-                    break
-                lab_r, lab_c = new_r, new_c
-            for base, labels in ((r0, lab_r), (c0, lab_c)):
-                for i in np.flatnonzero(labels < TILE):
-                    p, q = find(order[base + i]), find(order[r0 + labels[i]])
-                    if p != q:
-                        parent[p] = q
-    return links, [find(i) for i in range(len(ids))]
+            links.add(hit, order[r0:r1], order[c0:c1], same)
+    return links
 
 
 def similar_documents(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,9 +194,7 @@ def similar_documents(documents: DataFrame, similarity: float = SIMILARITY) -> D
     def verify(g: dict) -> Iterable[pa.RecordBatch]:
         ids, first = np.unique(g["id"].to_numpy(), return_index=True)
         sets_ = [np.frombuffer(x, np.uint64) for x in g["set"].take(pa.array(first)).to_pylist()]
-        links, parent = _verify(ids, g["weight"].to_numpy()[first], sets_, g["own"].to_numpy()[first], g["bi"][0] == g["bj"][0], similarity)
-        keep = np.array([links[i] > 0 or parent[i] != i for i in range(len(ids))], bool)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(ids[np.array(parent)][keep])], ["id", "links", "other"])
+        yield _verify(g["weight"].to_numpy()[first], sets_, g["own"].to_numpy()[first], g["bi"][0] == g["bj"][0], similarity).rows(ids)
 
     found = written(by_group(texts, ["root", "bi", "bj"], verify, "id long, links long, other long"), "links")
     comp = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
