@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vekspar.llm import decontaminate, forest, jaccard, mixing, passages, pii, quality, secrets, warc
+from vekspar.llm import decontaminate, forest, jaccard, mixing, passages, pii, quality, secrets, suffixes, warc
 from vekspar.llm.common import table
 
 
@@ -45,6 +45,12 @@ def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"), "record_id", "warc_date")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] != "guess")
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
