@@ -44,6 +44,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(df: DataFrame, **columns: Column) -> DataFrame:
+    """df's rows whole, in a struct column `row`, beside the given columns: no name of df's can clash with them."""
+    return df.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it new to df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about so many characters of text."""
     for b in batches:

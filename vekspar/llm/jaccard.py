@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vekspar.llm.common import Links, block_pairs, by_group, chunks, components, written
+from vekspar.llm.common import Links, block_pairs, by_group, carried, chunks, components, written
 from vekspar.llm.words import mix, per_text, shingles, words
 
 SIMILARITY = 0.8
@@ -206,8 +206,8 @@ def similar_documents(documents: DataFrame, similarity: float = SIMILARITY) -> D
 
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """documents with one row of each class: that whose doc_id is the class_id (any one of rows that share it). Rows with a null doc_id, which no class can name, stay."""
-    d = documents.withColumn("_row", F.monotonically_increasing_id())
-    kept = similar_documents(documents, similarity).where("doc_id = class_id").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    first = Window.partitionBy("_id").orderBy("_row")
-    named = d.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "inner").withColumn("_turn", F.row_number().over(first)).where("_turn = 1")
-    return named.select(*documents.columns).unionAll(documents.where("doc_id is null"))
+    d = carried(documents, _id=F.col("doc_id").cast("long"))
+    kept = similar_documents(documents, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
+    first = Window.partitionBy("_id").orderBy(F.xxhash64("row.text"))
+    named = d.join(kept, "_id").withColumn("_turn", F.row_number().over(first)).where("_turn = 1")
+    return named.select("row.*").unionAll(documents.where("doc_id is null"))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vekspar.llm.common import carried
+
 BLOCK = 32
 SLOTS = 1000
 MAX_SOURCES = 2000
@@ -55,7 +57,8 @@ def plan(weights: Mapping[str, int], blocks: Mapping[str, int]) -> dict[str, lis
                 out[s].append((blocks[s] - left[s], w[s], at, q, own[s]))
             at += times * q
             left = {s: n - times * w[s] for s, n in left.items()}
-        kept = [x for x in slots if x[1] < left[x[0]]]  # the period in which a source runs dry
+        dry = next(t for t, x in enumerate(slots) if x[1] >= left[x[0]])  # where a source has no block for its slot
+        kept = slots[:dry]
         for s in left:
             if mine := [(t, r, d) for t, (x, _, r, d) in enumerate(kept) if x == s]:
                 out[s].append((blocks[s] - left[s], len(mine), at, len(kept), mine))
@@ -83,7 +86,7 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None
     """
     spark = documents.sparkSession
     new = ["block", "slot", "release", "deadline", "position"]
-    d = documents.drop(*new).withColumn("_s", F.coalesce(F.col("source").cast("string"), F.lit(_NULL)))
+    d = carried(documents.drop(*new), _s=F.coalesce(F.col("source").cast("string"), F.lit(_NULL)), _h=F.xxhash64("doc_id"))
     got = d.groupBy("_s").count().limit(MAX_SOURCES + 1).collect()  # a row for each source
     if len(got) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
@@ -99,13 +102,13 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None
     shape = "struct<first:bigint,q:bigint,at:bigint,every:bigint,slots:array<int>,releases:array<int>,deadlines:array<int>>"
     lookup = spark.createDataFrame(rows, f"_s string, _segments array<{shape}>")  # its size is known, so Spark broadcasts it only if small
     salts = max(1, -(-max(counts.values(), default=1) // SALT_ROWS))
-    d = d.withColumn("_h", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_h", F.lit(salts)))
+    d = d.withColumn("_salt", F.pmod("_h", F.lit(salts)))
     before = d.groupBy("_s", "_salt").count().withColumn("_before", F.sum("count").over(Window.partitionBy("_s").orderBy("_salt")) - F.col("count")).drop("count")
-    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h", "doc_id")) - 1)
+    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h", "row.doc_id")) - 1)
     d = d.join(before, ["_s", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).join(lookup, "_s")
     d = d.withColumn("block", F.floor(F.col("_rank") / block)).withColumn("_g", F.element_at(F.filter("_segments", lambda x: x["first"] <= F.col("block")), -1))
     j = ((F.col("block") - F.col("_g.first")) % F.col("_g.q")).cast("int") + 1
     start = F.col("_g.at") + F.floor((F.col("block") - F.col("_g.first")) / F.col("_g.q")) * F.col("_g.every")
     for c, of in (("slot", "slots"), ("release", "releases"), ("deadline", "deadlines")):
         d = d.withColumn(c, start + F.element_at(F.col(f"_g.{of}"), j))
-    return d.withColumn("position", F.col("slot") * block + F.col("_rank") % block).select(*documents.drop(*new).columns, *new)
+    return d.withColumn("position", F.col("slot") * block + F.col("_rank") % block).select("row.*", *new)

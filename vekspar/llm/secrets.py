@@ -35,7 +35,7 @@ ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
 
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
-_LEET = str.maketrans("4@30150$7", "aaeolisst"[:9])
+_LEET = str.maketrans("4@301!5$7", "aaeolisst")
 _NEXT = {(a, b) for r in ROWS for a, b in (*zip(r, r[1:], strict=False), *zip(r[1:], r, strict=False))}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d", re.A)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vekspar.llm import packed
-from vekspar.llm.common import chunks, written
+from vekspar.llm.common import carried, chunks, unused, written
 from vekspar.llm.words import _BASE, mix, powers
 
 LENGTH = 50
@@ -312,18 +312,17 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     neither repeats nor is repeated. Rows with equal ids are not compared with each other, whether their texts are
     equal or not. Columns of documents named removed or kept are replaced.
     """
-    marks = repeated_bytes(documents, length).select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"), "marks").withColumnRenamed("marks", "_marks")
     plain = documents.drop("removed", "kept")
-    names = plain.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    on = (F.col("doc_id").cast("long") == F.col("_id")) & (F.crc32(text.cast("binary")) == F.col("_tx"))
-    rows = plain.join(marks, on, "left").drop("_id", "_tx")
+    names, found = plain.columns, unused(plain, "_marks")
+    marks = repeated_bytes(documents, length).select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"), F.col("marks").alias(found))
+    rows = carried(plain, _id=F.col("doc_id").cast("long"), _tx=F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = rows.join(marks, ["_id", "_tx"], "left").select("row.*", found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in chunks(batches):
             removed, kept = [], []
-            for t, m in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_marks").to_pylist(), strict=True):
+            for t, m in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column(found).to_pylist(), strict=True):
                 spans, t = covered(m or (), length).tolist(), t or b""
                 edges = [0, *(x for s in spans for x in s), len(t)]
                 kept.append(b"".join(t[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)))
