@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vekspar.llm.common import chunks, written
@@ -145,10 +145,10 @@ def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     kind = dict(pages.dtypes)["page_id"]
     p = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, payload binary, digest string, bytes long")
-    first = p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    p = p.withColumn("turn", F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")))
-    same = (F.col("page_id") == F.col("first")) & (F.col("turn") == 1)
-    return p.join(first, "digest", "left").withColumn("refers", F.when(F.col("first").isNull() | F.coalesce(same, F.lit(False)), None).otherwise(F.col("first"))).drop("first", "turn")
+    p = p.withColumn("at", F.struct(F.col("page_id").isNull(), "page_id", "url", F.monotonically_increasing_id()))
+    first = p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # payloads are shuffled by this join at most, whose hot digests can be split
+    return p.join(first, "digest", "left").withColumn("refers", F.when(F.col("at") != F.col("first"), F.col("first.page_id"))).drop("first", "at")
 
 
 def write_archives(records: DataFrame) -> DataFrame:
