@@ -288,7 +288,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     asked = found.where(f"kind = {ASKED}").drop("kind").join(docs, "doc_id").select("doc_id", "tx", "marks", "text")
     dealt = packed.regroup(asked.mapInArrow(take_apart, packed.SCHEMA), RUN, "a", shards, ENTRIES)
-    more = packed.by_shard(packed.by_shard(dealt, settle_strings), per_document, shape)
+    more = written(packed.by_shard(packed.by_shard(dealt, settle_strings), per_document, shape), "strings")  # frees the shuffled strings before the texts are joined
     marks = found.where(f"kind = {MARKS}").unionAll(more)
     return marks.groupBy("doc_id", "tx").agg(F.collect_list("marks").alias("marks"))  # one list from each family at most
 
