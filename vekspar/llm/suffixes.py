@@ -107,40 +107,60 @@ class IndexFamily:
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _array(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((doc, b, a))
-        a, b, doc = a[order], b[order], doc[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        return a[new], b[new], doc[new]
-
-    @staticmethod
-    def _find(level: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Which entries have an equal one of a smaller document in the level."""
+    def _find(level: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which entries, given in order, the level has, and its documents for them."""
         la, lb, ld = level
-        lo, hi = np.searchsorted(la, a, "left"), np.searchsorted(la, a, "right")
-        end = hi.copy()
+        lo = np.searchsorted(la, a)
+        some = np.flatnonzero(la[np.minimum(lo, len(la) - 1)] == a)
+        a, b, lo = a[some], b[some], lo[some]
+        end = np.searchsorted(la, a, "right")
+        hi = end.copy()
         while (open_ := lo < hi).any():
             mid = (lo + hi) // 2
             less = open_ & (lb[np.minimum(mid, len(lb) - 1)] < b)
             lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
         at = np.minimum(lo, len(lb) - 1)
-        return (lo < end) & (lb[at] == b) & (ld[at] < doc)
+        same = (lo < end) & (lb[at] == b)
+        return some[same], ld[at[same]]
 
     def add(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Takes a batch, none of whose documents is smaller than one taken before; which entries a smaller document has."""
         if not len(a):
             return np.zeros(0, bool)
-        new = self._array(a, b, doc)
-        found = self._find(new, a, b, doc)
-        for level in self.levels:
-            found |= self._find(level, a, b, doc)
-        self.levels.append(new)
+        order = in_order(a, b)
+        first, group = _groups(a[order], b[order])
+        level = a[order[first]], b[order[first]], np.minimum.reduceat(doc[order], first)
+        least = level[2].copy()
+        for older in self.levels:
+            at, docs = self._find(older, *level[:2])
+            least[at] = np.minimum(least[at], docs)
+        self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            two = [np.concatenate(x) for x in zip(self.levels.pop(-2), self.levels.pop(), strict=True)]
-            self.levels.append(self._array(*two))
+            a2, b2, d2 = (np.concatenate(x) for x in zip(self.levels.pop(-2), self.levels.pop(), strict=True))
+            o = in_order(a2, b2, merge=True)
+            first = _groups(a2[o], b2[o])[0]
+            self.levels.append((a2[o[first]], b2[o[first]], np.minimum.reduceat(d2[o], first)))
+        found = np.zeros(len(order), bool)
+        found[order] = doc[order] > least[group]
         return found
 
 
+def in_order(a: np.ndarray, b: np.ndarray, merge: bool = False) -> np.ndarray:
+    """The order by (a, b), few rows having equal a; merge: a is two ordered runs, which a stable sort merges."""
+    order = np.argsort(a, kind="stable" if merge else None)
+    same = a[order[1:]] == a[order[:-1]]
+    tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((b[rows], a[rows]))]
+    return order
+
+
+def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each group of equal (a, b), and each row's group; rows in order, one at least."""
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def _settle(e: dict[str, np.ndarray]) -> np.ndarray:
     """Which entries a smaller document has, by the family; e in any order."""
     order = np.argsort(e["doc"], kind="stable")
@@ -153,7 +173,7 @@ def _settle(e: dict[str, np.ndarray]) -> np.ndarray:
 
 def _differing(e: dict[str, np.ndarray]) -> np.ndarray:
     """Entries whose anchor has runs of other content too."""
-    order = np.lexsort((e["b"], e["a"]))
+    order = in_order(e["a"], e["b"])
     a, b = e["a"][order], e["b"][order]
     if not len(a):
         return order
