@@ -1,11 +1,11 @@
 """Benchmark decontamination (operator 2): SimHash of item-sized windows and a multi-index over Hamming blocks.
 
 A fingerprint has 64 bits, the signs of the sums of a window's word hashes. It is cut into BLOCKS blocks; two
-fingerprints within RADIUS bits agree in at least one block up to RADIUS // BLOCKS = 1 bit, so a table of every item's
-blocks with no or one bit flipped finds all items within the radius (pigeonhole). Each candidate is verified by the
+fingerprints within RADIUS bits agree in at least one block up to RADIUS // BLOCKS = 2 bits, so a table of every item's
+blocks with up to two bits flipped finds all items within the radius (pigeonhole). Each candidate is verified by the
 exact weighted Jaccard similarity of shingle counts.
 
-Only windows that hold a shingle of some item are fingerprinted: any other has similarity 0 with all items.
+Only windows with enough shingles that some item holds to reach the similarity are fingerprinted; the others cannot.
 
 The benchmark comes to the tasks in blocks of about ITEM_CHARS characters, whatever its size: a larger benchmark takes
 more passes, not more memory.
@@ -24,7 +24,7 @@ from vekspar.llm.common import chunks
 from vekspar.llm.words import _STEP, WIDTH, mix, shingles, words
 
 SIMILARITY = 0.8
-RADIUS = 12
+RADIUS = 20
 BLOCKS = 7
 ITEM_CHARS = 4_000_000
 _CUTS = np.array([0, 10, 19, 28, 37, 46, 55, 64])
@@ -82,8 +82,9 @@ class Items:
             for b in range(BLOCKS):
                 bits = int(_CUTS[b + 1] - _CUTS[b])
                 part = (self.prints[mine] >> np.uint64(_CUTS[b])) & np.uint64((1 << bits) - 1)
-                keys = np.concatenate([part, *(part ^ np.uint64(1 << x) for x in range(bits))]).astype(np.int64)
-                who = np.tile(mine, bits + 1)
+                flips = sorted({1 << x | 1 << y for x in range(bits) for y in range(bits)} | {0})
+                keys = np.concatenate([part ^ np.uint64(x) for x in flips]).astype(np.int64)
+                who = np.tile(mine, len(flips))
                 order = np.argsort(keys, kind="stable")
                 self.index[n, b] = (np.searchsorted(keys[order], np.arange((1 << bits) + 1)), who[order])
 
@@ -125,10 +126,13 @@ class Items:
                 at_k = by_width.get(k)
                 if at_k is None or size > len(own):
                     continue
-                mark = np.zeros(len(own) + 2, np.int64)
-                np.add.at(mark, np.maximum(at_k - size + k, 0), 1)
-                np.add.at(mark, at_k + 1, -1)
-                starts = np.flatnonzero(np.cumsum(mark[: len(own) - size + 1]) > 0)
+                n = size - k + 1
+                held = np.zeros(len(own) + 1, np.int64)
+                held[at_k + 1] = 1
+                held = np.cumsum(held)
+                starts = np.flatnonzero(held[n : len(own) - k + 2] - held[: len(own) - size + 1] >= least * 2 * n / (1 + least) - 1e-6)
+                if not len(starts):
+                    continue
                 for p, i in zip(*self.near(_prints(sums[starts + size] - sums[starts]), size), strict=True):
                     sim = similarity(grams(own[starts[p] : starts[p] + size], size), self.grams[i])
                     if sim >= least and sim > best.get(i, (0.0, 0))[0]:
