@@ -17,6 +17,21 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_texts_shorter_than_the_item_equal_brute_force():
+    rng = random.Random(3)
+    items = [fresh(rng, n) for n in (3, 5, 6, 12, 30, 60, 60, 100)]
+    texts = [x[s : len(x) - e] for x in items for s in (0, 1, 3, 9) for e in (0, 1, 2, 5)] + [x[:20] + x[21:] for x in items]
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            sims = [round(jaccard(t[s : s + len(x)], x), 9) for s in range(max(len(t) - len(x), 0) + 1)] if t else []
+            if sims and max(sims) >= 0.8:
+                want[d, i] = (max(sims), sims.index(max(sims)), min(len(x), len(t)))
+    got = decontaminate.Items(list(range(len(items))), [" ".join(x) for x in items]).matches([" ".join(t) for t in texts])
+    assert {(d, i): (round(sim, 9), p, n) for d, i, sim, p, n in got} == want
+    assert any(n < len(items[i]) for (_, i), (_, _, n) in want.items())
+
+
 @pytest.mark.parametrize(("size", "cut"), [(25, 2), (60, 6), (100, 10)])
 def test_copies_just_above_the_similarity_are_found(size, cut):
     rng = random.Random(size)

@@ -124,20 +124,21 @@ class Items:
             for size in sorted(set(self.sizes)):
                 k = min(size, WIDTH)
                 at_k = by_width.get(k)
-                if at_k is None or size > len(own):
+                if at_k is None:
                     continue
-                n = size - k + 1
+                span = min(size, len(own))  # a shorter text is its only window
+                n = span - k + 1
                 held = np.zeros(len(own) + 1, np.int64)
                 held[at_k + 1] = 1
                 held = np.cumsum(held)
-                starts = np.flatnonzero(held[n : len(own) - k + 2] - held[: len(own) - size + 1] >= least * 2 * n / (1 + least) - 1e-6)
+                starts = np.flatnonzero(held[n : len(own) - k + 2] - held[: len(own) - span + 1] >= least * (n + size - k + 1) / (1 + least) - 1e-6)
                 if not len(starts):
                     continue
-                for p, i in zip(*self.near(_prints(sums[starts + size] - sums[starts]), size), strict=True):
-                    sim = similarity(grams(own[starts[p] : starts[p] + size], size), self.grams[i])
+                for p, i in zip(*self.near(_prints(sums[starts + span] - sums[starts]), size), strict=True):
+                    sim = similarity(grams(own[starts[p] : starts[p] + span], span), self.grams[i])
                     if sim >= least and sim > best.get(i, (0.0, 0))[0]:
                         best[i] = (sim, int(starts[p]))
-            out += [(int(d), self.ids[i], sim, p, self.sizes[i]) for i, (sim, p) in sorted(best.items())]
+            out += [(int(d), self.ids[i], sim, p, min(self.sizes[i], len(own))) for i, (sim, p) in sorted(best.items())]
         return out
 
 
