@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vekspar.llm.common import chunks
+from vekspar.llm.common_words import COMMON
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_COST = 9.0
@@ -24,7 +25,15 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Words that announce a credential.
-CONTEXT = re.compile(r"\b(?:pwd|pass|passphrase|passcode|pin|login|credentials?|auth|authorization|bearer|private_?key|access_?key|secret_?key|client_?secret)\b[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+)(?:bearer\x20+)?[\"']?([^\s\"'<>,;]{8,})", re.I | re.A)
+CONTEXT = re.compile(
+    r"(?:password|passwd|secret|token|api_?key|(?<![A-Za-z0-9])(?:pwd|pass|passphrase|passcode|pin|login|credentials?|auth|authorization|bearer|private_?key|access_?key|secret_?key|client_?secret)(?![A-Za-z0-9_]))"
+    r"(?:[\"']?\x20*[:=]\x20*|\x20+is\x20+)(?:bearer\x20+)?([\"']?)(?=\S)",
+    re.I | re.A,
+)
+# Where a value without quotes ends: at a space, a tag, a quote that ends it, or a separator before another name.
+STOP = re.compile(r"\s|<(?=[A-Za-z/!])|[\"'](?=[\s,;:)}\]<>]|$)|[,;&](?=[\"']?[A-Za-z_][\w.-]*[\"']?[:=])", re.A)
+_DOUBLE, _SINGLE = re.compile(r"[\"\n]"), re.compile(r"['\n]")
+_AFTER = "\"'<>,;.:)]}"
 # Common words of passwords, most usual first, and rows of the keyboard.
 WORDS = """password admin welcome login letmein monkey dragon master hello freedom whatever secret access shadow superman
 michael football baseball sunshine princess summer winter spring autumn love star test user root guest pass qwerty
@@ -33,8 +42,8 @@ database manager office company internet computer january february march april j
 november december monday tuesday wednesday thursday friday saturday sunday""".split()
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
 
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *COMMON]))}
+_LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("4@301!5$7", "aaeolisst")
 _NEXT = {(a, b) for r in ROWS for a, b in (*zip(r, r[1:], strict=False), *zip(r[1:], r, strict=False))}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d", re.A)
@@ -66,21 +75,59 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """The whole values in credential contexts: to the closing quote or, without quotes, to where STOP says."""
+    out, last = [], 0
+    for m in CONTEXT.finditer(text):
+        s = m.end()
+        if m[1] and (shut := (_DOUBLE if m[1] == '"' else _SINGLE).search(text, s)) and shut[0] == m[1]:
+            e = shut.start()
+        else:
+            if s >= last:  # else inside the one before, which ends at the same place
+                stop = STOP.search(text, s)
+                last = stop.start() if stop else len(text)
+            e = last
+            while e > s and text[e - 1] in _AFTER:
+                e -= 1
+        if e > s:
+            out.append((s, e))
+    return out
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points, by start, then kind as listed."""
-    found, values = [], {}
+    return _scan(text, values(text))
+
+
+def _scan(text: str, whole: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    found, ends = [], {}
     for m in ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 6:
             found.append(("assign", m.start(), m.end()))
-            values[m.start(2)] = m.end(2)
+            ends.setdefault(m.start(2), set()).add(m.end(2))
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
-        values.setdefault(m.start(1), m.end(1))
-    found += [("guess", s, e) for s, e in values.items() if e - s >= 8 and guess_cost(text[s:e]) >= MIN_COST]
+    for s, e in whole:
+        ends.setdefault(s, set()).add(e)
+    done = 0
+    for s, of in sorted(ends.items()):  # the longest of a whole value and its base span that is dear
+        if max(of) <= done:
+            continue
+        if e := next((e for e in sorted(of, reverse=True) if e - s >= 8 and guess_cost(text[s:e]) >= MIN_COST), None):
+            found.append(("guess", s, e))
+            done = e
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def clean(text: str) -> str:
+    """The text with its secrets masked, and with each base span the rest of the value that it begins."""
+    whole = values(text)
+    spans = _scan(text, whole)
+    to = dict(whole)
+    rest = [("assign", m.start(2), to[m.start(2)]) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6 and m.start(2) in to] if spans else []
+    return redact(text, sorted(spans + rest, key=lambda x: x[1]))
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -113,12 +160,12 @@ def redact_secrets(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             texts = b.column("text").to_pylist()
-            clean = [t if t is None else redact(t, scan(t)) for t in texts]
+            masked = [t if t is None else clean(t) for t in texts]
             cols = {n: b.column(n) for n in b.schema.names}
-            cols["text"] = pa.array(clean, cols["text"].type)
+            cols["text"] = pa.array(masked, cols["text"].type)
             if "n_chars" in cols and pa.types.is_integer(cols["n_chars"].type):
                 old = cols["n_chars"].to_pylist()
-                cols["n_chars"] = pa.array([o if a == c else len(c) for o, a, c in zip(old, texts, clean, strict=True)], cols["n_chars"].type)
+                cols["n_chars"] = pa.array([o if a == c else len(c) for o, a, c in zip(old, texts, masked, strict=True)], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return documents.mapInArrow(run, documents.schema)
