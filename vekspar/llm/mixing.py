@@ -1,78 +1,85 @@
 """Mixing sources to target weights by Pfair scheduling (operator 5).
 
-A source's j-th block of a period of Q slots, its integer weight being q, is released at slot floor(j Q / q) and due at
-slot ceil((j + 1) Q / q). Earliest deadline first over those windows fills every slot and keeps each source's share of
-every prefix within one block of its target. The schedule repeats each period, so only one period is ever simulated
-(Q slots, on the driver) and each row finds its slot by arithmetic; a corpus a million times larger costs the driver
-nothing more. When a source runs dry the others go on with their own weights in a new phase: no row is dropped.
+A source's j-th block, its target weight being w of a total of W, is released at slot floor(j W / w) and due at slot
+ceil((j + 1) W / w). Earliest deadline first over those windows fills every slot and keeps each source's share of every
+prefix within one block of its target. Weights are taken as they are, as whole numbers in exact proportion. One task
+runs the schedule and writes a row for each block, which is all it holds or hands on besides a row for each source. When a
+source runs dry the others go on with their own weights in a new phase: no row is dropped.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vekspar.llm.common import carried
+from vekspar.llm.common import carried, written
 
 BLOCK = 32
-SLOTS = 1000
 MAX_SOURCES = 2000
 SALT_ROWS = 8192
 _NULL = "\0null"
 
 
-def period(weights: Mapping[str, int]) -> list[tuple[str, int, int, int]]:
-    """One period's slots in order: (source, j, release, deadline). Ties of deadlines go by source name."""
+def slots(weights: Mapping[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """The slots in order, without end: (source, j, release, deadline). Ties of deadlines go by source name."""
     q = sum(weights.values())
     wait = [(0, s, 0) for s in sorted(weights) if weights[s] > 0]
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for t in range(q):
+    t = 0
+    while wait or ready:
         while wait and wait[0][0] <= t:
             r, s, j = heapq.heappop(wait)
             heapq.heappush(ready, (-(-(j + 1) * q // weights[s]), s, j, r))
         d, s, j, r = heapq.heappop(ready)
-        out.append((s, j, r, d))
-        if j + 1 < weights[s]:
-            heapq.heappush(wait, ((j + 1) * q // weights[s], s, j + 1))
-    return out
+        yield s, j, r, d
+        heapq.heappush(wait, ((j + 1) * q // weights[s], s, j + 1))
+        t += 1
+
+
+def period(weights: Mapping[str, int]) -> list[tuple[str, int, int, int]]:
+    """The slots after which all sources are at their targets again."""
+    return list(islice(slots(weights), sum(weights.values())))
 
 
-def plan(weights: Mapping[str, int], blocks: Mapping[str, int]) -> dict[str, list[tuple]]:
-    """For each source its segments (first block, blocks a period, slot of the first period, slots a period, [(slot, release, deadline) of each j])."""
+def plan(weights: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """All blocks of all sources in slot order: (source, block, slot, release, deadline)."""
     left = {s: n for s, n in blocks.items() if n > 0}
-    out: dict[str, list[tuple]] = {s: [] for s in left}
     at = 0
     while left:
-        w = {s: weights[s] for s in left}
-        slots, q = period(w), sum(w.values())
-        times = min(n // w[s] for s, n in left.items())
-        own = {s: [(t, r, d) for t, (x, _, r, d) in enumerate(slots) if x == s] for s in left} if times else {}
-        if times:
-            for s in left:
-                out[s].append((blocks[s] - left[s], w[s], at, q, own[s]))
-            at += times * q
-            left = {s: n - times * w[s] for s, n in left.items()}
-        dry = next(t for t, x in enumerate(slots) if x[1] >= left[x[0]])  # where a source has no block for its slot
-        kept = slots[:dry]
-        for s in left:
-            if mine := [(t, r, d) for t, (x, _, r, d) in enumerate(kept) if x == s]:
-                out[s].append((blocks[s] - left[s], len(mine), at, len(kept), mine))
-                left[s] -= len(mine)
-        at += len(kept)
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def whole_weights(weights: Mapping[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Target weights as whole slots of a period, at least one each."""
-    total = sum(weights.values())
-    slots = max(slots, 2 * len(weights))
-    return {s: max(1, round(w / total * slots)) for s, w in weights.items()}
+        had = dict.fromkeys(left, 0)
+        for t, (s, j, r, d) in enumerate(slots({s: weights[s] for s in left})):
+            if j >= left[s]:  # a source has no block for its slot
+                break
+            had[s] = j + 1
+            yield s, blocks[s] - left[s] + j, at + t, at + r, at + d
+        at += t
+        left = {s: n - had[s] for s, n in left.items() if n > had[s]}
+
+
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Target weights as whole numbers in exact proportion."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    of = lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * of) for s, x in exact.items()}
+    by = gcd(*whole.values())
+    return {s: w // by for s, w in whole.items()}
+
+
+def targets(counts: Mapping[str, int], weights: Mapping[str, float] | None, power: float) -> dict[str, float]:
+    """Each source's target weight, as mix_sources says."""
+    if weights is None:
+        return {s: n**power for s, n in counts.items()}
+    named = [w for w in weights.values() if w > 0]
+    rest = sum(named) / len(named) if named else 1.0
+    return {s: weights.get(s, rest) if weights.get(s, rest) > 0 else rest for s in counts}
 
 
 def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
@@ -84,31 +91,23 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None
     the row's place in its block, so a source's last block may leave a gap. Columns of those names are replaced.
     Over MAX_SOURCES sources is an error, as the period must have a slot for each.
     """
-    spark = documents.sparkSession
     new = ["block", "slot", "release", "deadline", "position"]
     d = carried(documents.drop(*new), _s=F.coalesce(F.col("source").cast("string"), F.lit(_NULL)), _h=F.xxhash64("doc_id"))
-    got = d.groupBy("_s").count().limit(MAX_SOURCES + 1).collect()  # a row for each source
-    if len(got) > MAX_SOURCES:
+    sources = written(d.groupBy("_s").count(), "sources")
+    if sources.count() > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
-    counts = {r[0]: r[1] for r in got}
-    if weights is None:
-        target = {s: n**power for s, n in counts.items()}
-    else:
-        named = [w for w in weights.values() if w > 0]
-        rest = sum(named) / len(named) if named else 1.0
-        target = {s: weights.get(s, rest) if weights.get(s, rest) > 0 else rest for s in counts}
-    segments = plan(whole_weights(target), {s: -(-n // block) for s, n in counts.items()}) if counts else {}
-    rows = [(s, [(f, q, at, every, [x[0] for x in own], [x[1] for x in own], [x[2] for x in own]) for f, q, at, every, own in seg]) for s, seg in segments.items()]
-    shape = "struct<first:bigint,q:bigint,at:bigint,every:bigint,slots:array<int>,releases:array<int>,deadlines:array<int>>"
-    lookup = spark.createDataFrame(rows, f"_s string, _segments array<{shape}>")  # its size is known, so Spark broadcasts it only if small
-    salts = max(1, -(-max(counts.values(), default=1) // SALT_ROWS))
+
+    def schedule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {s: n for b in batches for s, n in zip(b.column("_s").to_pylist(), b.column("count").to_pylist(), strict=True)}
+        blocks = plan(whole_weights(targets(counts, weights, power)), {s: -(-n // block) for s, n in counts.items()})
+        while rows := list(islice(blocks, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["_s", *new[:4]])
+
+    lookup = written(sources.coalesce(1).mapInArrow(schedule, "_s string, block long, slot long, release long, deadline long"), "schedule")
+    salts = max(1, -(-(sources.agg(F.max("count")).first()[0] or 1) // SALT_ROWS))
     d = d.withColumn("_salt", F.pmod("_h", F.lit(salts)))
     before = d.groupBy("_s", "_salt").count().withColumn("_before", F.sum("count").over(Window.partitionBy("_s").orderBy("_salt")) - F.col("count")).drop("count")
     d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h", "row.doc_id")) - 1)
-    d = d.join(before, ["_s", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).join(lookup, "_s")
-    d = d.withColumn("block", F.floor(F.col("_rank") / block)).withColumn("_g", F.element_at(F.filter("_segments", lambda x: x["first"] <= F.col("block")), -1))
-    j = ((F.col("block") - F.col("_g.first")) % F.col("_g.q")).cast("int") + 1
-    start = F.col("_g.at") + F.floor((F.col("block") - F.col("_g.first")) / F.col("_g.q")) * F.col("_g.every")
-    for c, of in (("slot", "slots"), ("release", "releases"), ("deadline", "deadlines")):
-        d = d.withColumn(c, start + F.element_at(F.col(f"_g.{of}"), j))
+    d = d.join(before, ["_s", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    d = d.withColumn("block", F.floor(F.col("_rank") / block)).join(lookup, ["_s", "block"])
     return d.withColumn("position", F.col("slot") * block + F.col("_rank") % block).select("row.*", *new)
