@@ -18,3 +18,9 @@ def test_prefixes_are_within_a_block_of_the_exact_targets():
         if t % 97 == 0:
             assert all(abs(had[x] - w * (t + 1)) < 1 for x, w in share.items())
     assert had["s000"] <= 3 and had["hot"] > 8700
+
+
+def test_more_sources_than_a_period_once_had(spark):
+    got = mixing.mix_sources(spark.range(5200).selectExpr("id doc_id", "string(id % 2600) source"), block=1).collect()
+    assert len(got) == 5200 and sorted(r.slot for r in got) == list(range(5200))
+    assert all(r.release <= r.slot < r.deadline for r in got)

@@ -23,7 +23,6 @@ from pyspark.sql.window import Window
 from vekspar.llm.common import carried, written
 
 BLOCK = 32
-MAX_SOURCES = 2000
 SALT_ROWS = 8192
 _NULL = "\0null"
 
@@ -89,13 +88,10 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None
     None: each source's count to the given power. A null source is a source of its own. Within a source, rows come in
     the order of their ids' hashes; rows with equal or null ids are told apart arbitrarily. position = slot * block +
     the row's place in its block, so a source's last block may leave a gap. Columns of those names are replaced.
-    Over MAX_SOURCES sources is an error, as the period must have a slot for each.
     """
     new = ["block", "slot", "release", "deadline", "position"]
     d = carried(documents.drop(*new), _s=F.coalesce(F.col("source").cast("string"), F.lit(_NULL)), _h=F.xxhash64("doc_id"))
     sources = written(d.groupBy("_s").count(), "sources")
-    if sources.count() > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
 
     def schedule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {s: n for b in batches for s, n in zip(b.column("_s").to_pylist(), b.column("count").to_pylist(), strict=True)}
