@@ -54,8 +54,33 @@ def test_mixing_edges(spark, documents, nothing):
     assert mixing.mix_sources(nothing).count() == 0
     got = mixing.mix_sources(documents, {"web": 3.0})
     assert got.count() == documents.count() and got.columns[: len(documents.columns)] == documents.columns
+    assert mixing.mix_sources(spark.range(2100).selectExpr("id doc_id", "string(id) source")).count() == 2100  # no cap on sources
     with pytest.raises(ValueError):
-        mixing.mix_sources(spark.range(2100).selectExpr("id doc_id", "string(id) source")).count()
+        mixing.mix_sources(documents, {"web": 0.0})
+
+
+def test_mixing_keeps_columns_and_splits_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SALT_ROWS", 20)
+    rows = [(None, "hot", 7, 1) for _ in range(300)] + [(i, "cold", i, 2) for i in range(50)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, block int, Slot int"), block=4)
+    assert out.columns == ["doc_id", "source", "block", "Slot", "_block", "_slot", "release", "deadline", "position"]
+    got = out.collect()
+    assert sorted(map(repr, [tuple(r)[:4] for r in got])) == sorted(map(repr, rows)) and len({r.position for r in got}) == 350
+
+
+def test_pipeline_keeps_every_column(spark, tmp_path):
+    names = ["score", "predicted", "block", "slot", "release", "deadline", "position", "row", "_marks", "id", "set_key", "class_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.selectExpr("*", *(f"concat('{n}', doc_id) as `{n}`" for n in names))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns[: len(docs.columns)] == docs.columns and len(got.columns) == len(docs.columns) + 5
+    rows = got.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    plain = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
+    assert {r.doc_id for r in rows} == plain
 
 
 def weighted(a, b):

@@ -100,6 +100,35 @@ def test_jaccard_equals_brute_force(spark, corpus):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
 
 
+def test_jaccard_in_small_blocks(spark, monkeypatch):
+    """Large groups go by bands, in several blocks; buckets are cut as well."""
+    rng = random.Random(12)
+    rows, at = [], 0
+    for n in (80, 25):  # a chain of near copies, and a dense group
+        base = prose(rng, 140).split(" ")
+        for _ in range(n):
+            w = base if n == 80 else list(base)
+            w[rng.randrange(len(w))] = f"zz{at}"
+            rows.append((at, " ".join(w)))
+            at += 1
+    rows += [(at + i, prose(rng, 90)) for i in range(20)]
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 12_000)
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(jaccard, "TILE", 5)
+    monkeypatch.setattr(jaccard, "COLUMNS", 37)
+    links = brute_links(rows)
+    root = classes_of(links)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (root[d], len(links[d])) for d in links}
+
+
+def test_components_with_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    edges = [(7, i) for i in range(10, 3000)] + [(5000 + i, 5001 + i) for i in range(40)]
+    got = {r.id: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {7: 7, **dict.fromkeys(range(10, 3000), 7), **dict.fromkeys(range(5000, 5041), 5000)}
+
+
 def test_jaccard_edges(spark, documents, nothing):
     assert jaccard.similar_documents(nothing).count() == 0 and jaccard.one_of_each(nothing).count() == 0
     got = jaccard.similar_documents(documents).collect()

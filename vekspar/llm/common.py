@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,10 +27,39 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class _Made(threading.local):
+    """A thread's tables that written() has made and dropped() has not deleted yet, oldest first."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
+
+
+def made() -> int:
+    """How many tables of this thread there are; for dropped()."""
+    return len(_made.paths)
+
+
+def dropped(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes this thread's tables written since there were so many, but for those that keep reads."""
+    files = keep.inputFiles() if keep is not None else []
+    for path in _made.paths[since:]:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _made.paths.remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: lineage ends here and a lost executor costs nothing."""
+    """df, written to the shared folder as Parquet and read again: lineage ends here and a lost executor costs nothing.
+
+    The table stays, as what is read from it may be computed at any time; dropped() deletes those no longer read.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vekspar/{name}-{uuid.uuid4().hex}"
+    _made.paths.append(path)
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # else shuffle files stay until the driver collects garbage
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
@@ -119,13 +149,26 @@ def block_pairs(df: DataFrame, key: str, row: str, blocks: Column) -> DataFrame:
     )
 
 
+#: A node with more than this share of all rows is joined by broadcast, so no task gets more of one node's rows.
+HOT = 256
+
+
+def _with_low(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with m, their node's least one; low: u, m and n, its rows. Of total rows, at most HOT nodes have total / HOT or more."""
+    least = max(1024, -(-total // HOT))
+    hot = F.broadcast(low.where(F.col("n") >= least).select("u", "m"))  # HOT rows at most, or none of 1024
+    rest = rows.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("n") < least).select("u", "m"), "u")
+    return rows.join(hot, "u").unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the long pairs (a, b): a row (id, root) for each node, root the smallest id.
 
     Alternates large-star and small-star (Kiveris et al., Connected Components in MapReduce and Beyond); each round's
-    edges are written to the shared folder, and only their number and checksum come to the driver.
+    edges are written to the shared folder, the one before's deleted, and only their number and checksum come to the driver.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    at = made()
     e, seen = written(e, "edges"), None
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -133,11 +176,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_low(both, low, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(edges.sparkSession, at, e)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -5,12 +5,13 @@
    the pair is dropped once the posterior probability that its similarity reaches the threshold, the prior being
    uniform, is below TOLERANCE (Satuluri and Parthasarathy, Bayesian Locality Sensitive Hashing). In a band's bucket a
    search from class to class visits all that are reachable over pairs that were not dropped.
-3. Within each group of classes so reached, all pairs are verified by their exact similarity. Groups are cut into
-   blocks by bytes, so no task holds more than two; a task returns a count for each class and a spanning forest, never
-   pairs.
+3. Within each group of classes so reached, pairs are compared by their MinHash values in the same way and those left
+   are verified by their exact similarity. A group of up to BLOCK_BYTES of shingles is one task's. In a larger one the
+   pairs that share a band meet in the band's part of the group, the first of their bands counting, so a long chain of
+   groups costs as many comparisons as it has neighbours; parts are cut into blocks by bytes, so no task holds more
+   than two. A task returns a count for each class and a spanning forest, never pairs.
 
-A pair of similarity 0.8 meets in some band with probability 1 - (1 - 0.8**4)**16 > 0.9997, and is verified as well
-when it is reached over other pairs.
+A pair of similarity 0.8 meets in some band with probability 1 - (1 - 0.8**4)**16 > 0.9997.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SIMILARITY = 0.8
 HASHES, ROWS, STEP, TOLERANCE = 64, 4, 16, 1e-4
 BUCKET_ROWS = 16_384
 BLOCK_BYTES = 12_000_000
-TILE = 256
+TILE, COLUMNS = 256, 32_768
 _MUL = np.random.default_rng(3).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(4).integers(1, 2**63, HASHES, dtype=np.uint64)
 
@@ -107,6 +108,16 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.select("doc_id", "set_key"), written(c, "classes")
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """The key of each band of each row of MinHash values."""
+    parts = sig.reshape(len(sig), HASHES // ROWS, ROWS).astype(np.uint64)
+    return mix((parts * _MUL[:ROWS]).sum(2, dtype=np.uint64) + np.arange(HASHES // ROWS, dtype=np.uint64))
+
+
+def _sigs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
 def candidates(c: DataFrame, similarity: float) -> DataFrame:
     """(id, root): classes of two or more that are connected over pairs left by Bayesian pruning."""
     least = least_matches(similarity)
@@ -116,8 +127,7 @@ def candidates(c: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES // ROWS, ROWS).astype(np.uint64)
-            key = mix((sig * _MUL[:ROWS]).sum(2, dtype=np.uint64) + np.arange(HASHES // ROWS, dtype=np.uint64))
+            key = _bands(_sigs(b.column("sig")))
             rep = b.column("rep").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(rep, HASHES // ROWS))], ["band", "rep"])
 
@@ -128,7 +138,7 @@ def candidates(c: DataFrame, similarity: float) -> DataFrame:
 
     def pairs(g: dict) -> Iterable[pa.RecordBatch]:
         ids = g["rep"].to_numpy()
-        sigs = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
+        sigs = _sigs(g["sig"])
         side = g["own"].to_numpy() if g["bi"][0] != g["bj"][0] else None
         if got := list(_reach(ids, sigs, side, least)):
             a, b = zip(*got, strict=True)
@@ -137,36 +147,72 @@ def candidates(c: DataFrame, similarity: float) -> DataFrame:
     return components(by_group(rows, ["band", "bi", "bj"], pairs, "a long, b long"))
 
 
-def _verify(weights: np.ndarray, sets: list[np.ndarray], own: np.ndarray, within: bool, similarity: float) -> Links:
-    """The exact links of a block pair, a tile of the product of its membership matrices at a time."""
+def _verify(weights: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, own: np.ndarray, within: bool, similarity: float, band: int = -1) -> Links:
+    """The exact links of a block pair, a tile at a time, among pairs that Bayesian pruning leaves; band: only those whose first shared band it is."""
     order = np.argsort(own, kind="stable")
+    least = least_matches(similarity)
     size = np.array([len(s) for s in sets])[order]
     flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1].astype(np.int32)
     at = np.r_[0, np.cumsum(size)]
+    sigs = sigs[order]
+    keys = _bands(sigs)[:, : band + 1]
     links, width, n = Links(weights), int(flat.max()) + 1 if len(flat) else 0, len(order)
     half = n if within else int((own == own[order[0]]).sum())
     rows = [(s, min(s + TILE, half)) for s in range(0, half, TILE)]
     cols = rows if within else [(s, min(s + TILE, n)) for s in range(half, n, TILE)]
     for a, (r0, r1) in enumerate(rows):
-        mine, in_left = flat[at[r0] : at[r1]], np.zeros(width, bool)
-        in_left[mine] = True
         for c0, c1 in cols[a if within else 0 :]:
-            other, col = flat[at[c0] : at[c1]], np.zeros(width, np.int32)
-            shared = np.unique(other[in_left[other]])
-            col[shared] = np.arange(1, len(shared) + 1)
-            x, y = (np.zeros((k, len(shared) + 1), np.float32) for k in (r1 - r0, c1 - c0))
-            x[np.repeat(np.arange(r1 - r0), size[r0:r1]), col[mine]] = 1
-            y[np.repeat(np.arange(c1 - c0), size[c0:c1]), col[other]] = 1
-            both = x[:, 1:] @ y[:, 1:].T
-            union = size[r0:r1][:, None] + size[c0:c1][None] - both
-            hit = (both >= similarity * union - 1e-4) & (both > 0)
+            may = _alike(sigs[r0:r1], sigs[c0:c1], least)
+            may &= (size[r0:r1][:, None] >= similarity * size[c0:c1] - 1e-4) & (size[c0:c1] >= similarity * size[r0:r1][:, None] - 1e-4)
+            for b in range(band):
+                may &= keys[r0:r1, b][:, None] != keys[c0:c1, b]
+            if band >= 0:
+                may &= keys[r0:r1, band][:, None] == keys[c0:c1, band]
             same = within and r0 == c0
             if same:
-                np.fill_diagonal(hit, False)
-            links.add(hit, order[r0:r1], order[c0:c1], same)
+                np.fill_diagonal(may, False)
+            r, c = r0 + np.flatnonzero(may.any(1)), c0 + np.flatnonzero(may.any(0))
+            if not len(r):
+                continue
+            both = _shared(flat, at, r, c, width)
+            union = size[r][:, None] + size[c][None] - both
+            links.add((both >= similarity * union - 1e-4) & may[np.ix_(r - r0, c - c0)], order[r], order[c], same)
     return links
 
 
+def _alike(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Which pairs Bayesian pruning leaves, STEP values at a time."""
+    same = np.zeros((len(x), len(y)), np.int16)
+    may = np.ones(same.shape, bool)
+    for n, m in least.items():
+        for i in range(n - STEP, n):
+            same += x[:, i][:, None] == y[:, i]
+        may &= same >= m
+        if not may.any():
+            break
+    return may
+
+
+def _shared(flat: np.ndarray, at: np.ndarray, r: np.ndarray, c: np.ndarray, width: int) -> np.ndarray:
+    """How many shingles each pair of rows r and c shares: the product of their membership matrices, COLUMNS shingles at a time."""
+    mine, other = (np.concatenate([flat[at[i] : at[i + 1]] for i in x]) for x in (r, c))
+    row, col = (np.repeat(np.arange(len(x)), at[x + 1] - at[x]) for x in (r, c))
+    held = np.zeros(width, bool)
+    held[mine] = True
+    shared = np.unique(other[held[other]])
+    number = np.full(width, -1, np.int32)
+    number[shared] = np.arange(len(shared))
+    mine, other = number[mine], number[other]
+    both = np.zeros((len(r), len(c)), np.float32)
+    for s in range(0, len(shared), COLUMNS):
+        x, y = (np.zeros((len(k), min(COLUMNS, len(shared) - s)), np.float32) for k in (r, c))
+        for z, who, what in ((x, row, mine), (y, col, other)):
+            now = (what >= s) & (what < s + COLUMNS)
+            z[who[now], what[now] - s] = 1
+        both += x @ y.T
+    return both
+
+
 def similar_documents(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links for each row of documents (doc_id whole number, text).
 
@@ -178,7 +224,7 @@ def similar_documents(documents: DataFrame, similarity: float = SIMILARITY) -> D
     """
     rows, c = classes(documents)
     groups = candidates(c, similarity)
-    reps = groups.join(c.select(F.col("rep").alias("id"), "weight", "set_key", "n"), "id")
+    reps = groups.join(c.select(F.col("rep").alias("id"), "weight", "n", "sig"), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -186,17 +232,31 @@ def similar_documents(documents: DataFrame, similarity: float = SIMILARITY) -> D
             cols = {k: b.column(k) for k in b.schema.names if k != "text"}
             yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([s[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], [*cols, "set"])
 
-    total = reps.groupBy("root").agg(F.ceil(F.sum(F.col("n") * 8 + 100) / BLOCK_BYTES).alias("blocks"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(reps.select("id", "root", "weight"), "id")
-    texts = texts.mapInArrow(sets, "id long, root long, weight long, set binary").join(total, "root")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(HASHES // ROWS)
+        for b in batches:
+            if b.num_rows:
+                key = _bands(_sigs(b.column("sig")))
+                times = np.repeat(np.arange(len(key)), len(every))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(times)) for k in ("id", "root", "bytes")), pa.array(np.tile(every, len(key)), pa.int32()), pa.array(key.ravel().view(np.int64))], ["id", "root", "bytes", "band", "part"])
+
+    reps = written(reps.withColumn("bytes", F.col("n").cast("long") * 8 + 400), "reached")
+    total = reps.groupBy("root").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
+    reps = reps.join(total, "root")
+    whole = reps.where("blocks = 1").select("id", "root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"), "blocks")
+    large = reps.where("blocks > 1").select("id", "root", "bytes", "sig").mapInArrow(parts, "id long, root long, bytes long, band int, part long")
+    sizes = large.groupBy("root", "part").agg(F.count("*").alias("count"), F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks")).where("count > 1").drop("count")
+    dealt = whole.unionByName(large.join(sizes, ["root", "part"]).drop("bytes"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(reps.select("id", "weight", "sig"), "id")
+    texts = texts.mapInArrow(sets, "id long, weight long, sig binary, set binary").join(dealt, "id")
     texts = block_pairs(texts, "root", "id", F.col("blocks")).drop("blocks")
 
     def verify(g: dict) -> Iterable[pa.RecordBatch]:
         ids, first = np.unique(g["id"].to_numpy(), return_index=True)
         sets_ = [np.frombuffer(x, np.uint64) for x in g["set"].take(pa.array(first)).to_pylist()]
-        yield _verify(g["weight"].to_numpy()[first], sets_, g["own"].to_numpy()[first], g["bi"][0] == g["bj"][0], similarity).rows(ids)
+        yield _verify(g["weight"].to_numpy()[first], sets_, _sigs(g["sig"].take(pa.array(first))), g["own"].to_numpy()[first], g["bi"][0] == g["bj"][0], similarity, g["band"][0].as_py()).rows(ids)
 
-    found = written(by_group(texts, ["root", "bi", "bj"], verify, "id long, links long, other long"), "links")
+    found = written(by_group(texts, ["root", "part", "bi", "bj"], verify, "id long, links long, other long"), "links")
     comp = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links")).join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     per_class = c.select("set_key", "rep", "weight").join(links, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

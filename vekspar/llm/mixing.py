@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vekspar.llm.common import carried, written
+from vekspar.llm.common import carried, unused, written
 
 BLOCK = 32
 SALT_ROWS = 8192
@@ -76,21 +76,24 @@ def targets(counts: Mapping[str, int], weights: Mapping[str, float] | None, powe
     """Each source's target weight, as mix_sources says."""
     if weights is None:
         return {s: n**power for s, n in counts.items()}
-    named = [w for w in weights.values() if w > 0]
-    rest = sum(named) / len(named) if named else 1.0
-    return {s: weights.get(s, rest) if weights.get(s, rest) > 0 else rest for s in counts}
+    rest = sum(weights.values()) / len(weights) if weights else 1.0
+    return {s: weights.get(s, rest) for s in counts}
 
 
 def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
     """documents in their mixing order: all rows and columns, with block, slot, release, deadline and position.
 
     weights: the target weight of each source, above 0; a source that is not named gets the mean of those that are.
-    None: each source's count to the given power. A null source is a source of its own. Within a source, rows come in
-    the order of their ids' hashes; rows with equal or null ids are told apart arbitrarily. position = slot * block +
-    the row's place in its block, so a source's last block may leave a gap. Columns of those names are replaced.
+    0 or less is an error. None: each source's count to the given power. A null source is a source of its own. Within
+    a source, rows come in the order of the hashes of all their columns, so only rows that are equal in every column
+    can change places. position = slot * block + the row's place in its block, so a source's last block may leave a
+    gap. Where documents has a column of a new one's name, the new one gets underscores before its name.
     """
+    if bad := [s for s, w in (weights or {}).items() if not w > 0]:
+        raise ValueError(f"target weights of {bad} are not above 0")
     new = ["block", "slot", "release", "deadline", "position"]
-    d = carried(documents.drop(*new), _s=F.coalesce(F.col("source").cast("string"), F.lit(_NULL)), _h=F.xxhash64("doc_id"))
+    named = [unused(documents, n) for n in new]
+    d = carried(documents, _s=F.coalesce(F.col("source").cast("string"), F.lit(_NULL)), _h=F.xxhash64(*documents.columns))
     sources = written(d.groupBy("_s").count(), "sources")
 
     def schedule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +104,15 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None
 
     lookup = written(sources.coalesce(1).mapInArrow(schedule, "_s string, block long, slot long, release long, deadline long"), "schedule")
     salts = max(1, -(-(sources.agg(F.max("count")).first()[0] or 1) // SALT_ROWS))
-    d = d.withColumn("_salt", F.pmod("_h", F.lit(salts)))
+    salt = F.pmod("_h", F.lit(salts))
+    many = written(d.groupBy("_s", "_h").agg(F.count("*").alias("_n")).where(F.col("_n") > SALT_ROWS).drop("_n"), "equal-rows")
+    if n := many.count():  # rows equal in all columns, over SALT_ROWS of each: any salt will do
+        many = many.withColumn("_many", F.lit(True))
+        d = d.join(F.broadcast(many) if n <= 100_000 else many, ["_s", "_h"], "left")
+        salt = F.when(F.col("_many"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(salt)
+    d = d.withColumn("_salt", salt).select("row", "_s", "_h", "_salt")
     before = d.groupBy("_s", "_salt").count().withColumn("_before", F.sum("count").over(Window.partitionBy("_s").orderBy("_salt")) - F.col("count")).drop("count")
-    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h", "row.doc_id")) - 1)
+    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h")) - 1)
     d = d.join(before, ["_s", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     d = d.withColumn("block", F.floor(F.col("_rank") / block)).join(lookup, ["_s", "block"])
-    return d.withColumn("position", F.col("slot") * block + F.col("_rank") % block).select("row.*", *new)
+    return d.withColumn("position", F.col("slot") * block + F.col("_rank") % block).select("row.*", *(F.col(n).alias(m) for n, m in zip(new, named, strict=True)))

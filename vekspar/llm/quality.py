@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vekspar.llm.common import chunks
+from vekspar.llm.common import chunks, unused
 from vekspar.llm.words import per_text, shingles, words
 
 SAMPLE = 20_000
@@ -111,7 +112,11 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fits on the `sample` labelled rows with the lowest hashes that are not held out (rows with nulls don't count)."""
+    """Fits on the `sample` labelled rows with the lowest hashes that are not held out (rows with nulls don't count).
+
+    Of rows that share a doc_id, those with the lowest hashes of their texts are taken, so that `sample` rows are never
+    exceeded.
+    """
     rows = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).select(F.col("doc_id").alias("_id"), "quality")
     rows = rows.orderBy(F.xxhash64("_id"), "_id", "quality").limit(sample)
     texts = documents.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id"))  # at most `sample` rows of 12 bytes
@@ -121,6 +126,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict
             x = features(b.column("text").to_pylist()).astype("f4")
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast("int64"), b.column("quality").cast("int32"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
+    if texts.groupBy("_id").count().where("count > 1").limit(1).count():  # an id of several rows: else the labels bound the rows
+        texts = texts.orderBy(F.xxhash64("_id"), F.xxhash64("text"), "quality").limit(sample)
     got = texts.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("x", "ascending")])
     width = features([""]).shape[1]
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), "f4").reshape(-1, width).astype("f8")
@@ -131,16 +138,15 @@ def quality_scores(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
     """documents with `score` (0 to 1) and `predicted` (score >= 0.3), all columns and rows kept.
 
     labels: doc_id, quality (0 or 1). A null text counts as an empty one; a null doc_id is scored and never trained on;
-    without labels of both kinds every score is 0.5. Columns of documents named score or predicted are replaced.
+    without labels of both kinds every score is 0.5. Where documents has a column of such a name, the new one gets
+    underscores before its name (common.unused). Rows that share a doc_id are scored each by its own text.
     """
     model = train(documents, labels, sample)
-    kept = documents.drop("score", "predicted")
+    new = [unused(documents, n) for n in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             s = score(model, features(b.column("text").to_pylist()).astype("f4").astype("f8"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= CUT).astype("i4"))], [*b.schema.names, "score", "predicted"])
-
-    from pyspark.sql import types as T
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= CUT).astype("i4"))], [*b.schema.names, *new])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.IntegerType())]))
