@@ -10,14 +10,16 @@ each one's rows as Parquet to the shared folder and hands them to the next.
 - mixing: all documents stay and get their places in the mixing order (block, slot, release, deadline, position).
 
 Nulls: a null text is an empty one; a null doc_id never names a group, so such rows pass near_duplicates. Columns that
-documents has beyond its five stay.
+documents has beyond its five stay as they are, whatever their names: where one has the name of a column of the last
+stage's, the stage's gets an underscore before it. Each stage's tables in the shared folder go once the next one's
+rows are written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vekspar.llm.common import table, written
+from vekspar.llm.common import dropped, made, table, unused, written
 from vekspar.llm.decontaminate import drop_leaks
 from vekspar.llm.jaccard import one_of_each
 from vekspar.llm.mixing import mix_sources
@@ -26,7 +28,7 @@ from vekspar.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    return quality_scores(docs, table(spark, sf_dir, "labels")).where(f"{unused(docs, 'predicted')} = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        dropped(spark, since, docs)
     return docs
