@@ -28,7 +28,7 @@ from vekspar.llm.common import Links, block_pairs, by_group, carried, chunks, co
 from vekspar.llm.words import mix, per_text, shingles, words
 
 SIMILARITY = 0.8
-HASHES, ROWS, STEP, TOLERANCE = 64, 4, 16, 1e-4
+HASHES, ROWS, STEP, TOLERANCE = 64, 4, 16, 1e-6
 BUCKET_ROWS = 16_384
 BLOCK_BYTES = 12_000_000
 TILE, COLUMNS = 256, 32_768
