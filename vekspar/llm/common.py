@@ -153,33 +153,36 @@ def block_pairs(df: DataFrame, key: str, row: str, blocks: Column) -> DataFrame:
 HOT = 256
 
 
-def _with_low(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """rows (u, v) with m, their node's least one; low: u, m and n, its rows. Of total rows, at most HOT nodes have total / HOT or more."""
-    least = max(1024, -(-total // HOT))
-    hot = F.broadcast(low.where(F.col("n") >= least).select("u", "m"))  # HOT rows at most, or none of 1024
-    rest = rows.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("n") < least).select("u", "m"), "u")
-    return rows.join(hot, "u").unionByName(rest)
+def _least(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v) as (v, m), m being the least v or u of the row's u; and (u, m) of each u. Of total rows, HOT nodes at most have total / HOT or more."""
+    low = written(rows.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
+    hot = low.where(F.col("n") >= max(1024, -(-total // HOT)))
+    if not hot.limit(1).count():
+        return rows.join(low, "u").select("u", "v", "m"), low.select("u", "m")
+    hot = F.broadcast(hot.select("u", "m", F.lit(True).alias("hot")))  # HOT rows at most
+    marked = rows.join(hot, "u", "left")
+    rest = marked.where("hot is null").select("u", "v").join(low.select("u", "m"), "u")
+    return marked.where("hot").select("u", "v", "m").unionByName(rest), low.select("u", "m")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the long pairs (a, b): a row (id, root) for each node, root the smallest id.
 
-    Alternates large-star and small-star (Kiveris et al., Connected Components in MapReduce and Beyond); each round's
-    edges are written to the shared folder, the one before's deleted, and only their number and checksum come to the driver.
+    Alternates large-star and small-star (Kiveris et al., Connected Components in MapReduce and Beyond); each step's
+    rows are written to the shared folder, the step before's deleted, and only their number and checksum come to the
+    driver. Written steps also keep the plans, which the driver holds, small.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     at = made()
-    e, seen = written(e, "edges"), None
+    e, seen = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or now == seen:
             break
         seen = now
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_low(both, low, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_low(large, low, now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        met, _ = _least(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * now[0])
+        large = written(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        met, low = _least(large, now[0])
+        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         dropped(edges.sparkSession, at, e)
     else:
