@@ -29,7 +29,8 @@ def test_short_and_unknown_archives_are_errors():
 def test_conversion_is_stable_and_complete():
     arc = warc.arc_file("a.arc", 2, [("http://h/1", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\nX-Page-Id: 1\r\n\r\nbody")])
     a, b = warc.convert(arc, {}), warc.convert(arc, {})
-    (head, block), = warc.read_warc(a)
+    (info, about), (head, block) = warc.read_warc(a)
+    assert info["WARC-Type"] == "warcinfo" and info["WARC-Filename"] == "a.warc.gz" and b"format: WARC File Format 1.1" in about and head["WARC-Warcinfo-ID"] == info["WARC-Record-ID"]
     assert a == b and head["WARC-Date"] == "2020-01-02T03:04:05Z" and head["WARC-Type"] == "response"
     assert head["WARC-Payload-Digest"] == f"sha1:{sha(b'body')}" and block.endswith(b"body")
 
@@ -55,3 +56,30 @@ def test_pages(spark):
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(warc.record_types(none))).count() == 0
+
+
+def test_every_revisit_refers_to_a_response(spark, tmp_path):
+    import gzip
+
+    rows = [(i % 40, f"http://h/{i % 3}", "same" if i % 2 else f"p{i % 5}" * 2000) for i in range(200)] + [(None, None, "same")] * 3
+    for parts in (1, 7):
+        made = warc.write_archives(warc.record_types(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)))
+        got = warc.read_archives(made).collect()
+        ids = {r.record_id: r for r in got}
+        assert len(ids) == len(got) == len(rows)
+        for r in got:
+            if r.record_type == "revisit":
+                of = ids[r.refers_to_id]
+                assert of.record_type == "response" and of.payload_digest == r.payload_digest and of.page_id == r.refers_to
+        responses = {(r.page_id, r.record_id) for r in got if r.record_type == "response"}
+        assert parts == 1 or responses == before
+        before = responses
+    files = warc.save_archives(made, str(tmp_path / "out")).collect()
+    read = [h["WARC-Record-ID"] for f in files for h, _ in warc.read_warc(open(f.path, "rb").read(), 100) if h["WARC-Type"] != "warcinfo"]
+    assert sorted(read) == sorted(ids) and all(gzip.open(f.path).read().startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for f in files)
+
+
+def test_very_long_payload(spark):
+    page = spark.createDataFrame([(1, "http://h/", "<p>é</p>" * 1_500_000)], "page_id long, url string, html string")
+    r = warc.read_archives(warc.write_archives(warc.record_types(page))).first()
+    assert r.payload_bytes == 9 * 1_500_000 and r.record_type == "response"
