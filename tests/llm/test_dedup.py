@@ -214,7 +214,7 @@ def test_vectors(spark, monkeypatch):
     rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 16, 1), (2003, [float("nan")] + [1.0] * 15, 1), (2004, [None] + [1.0] * 15, 1), (2005, [1e300] * 16, 1), (2006, [1e-300] * 16, 1), (2007, [1.0] * 4, 1)]
     links = brute_vectors(rows)
     root = classes_of(links)
-    for k, v in (("LEAF", 40), ("BLOCK", 50), ("TILE", 16)):
+    for k, v in (("LEAF", 20), ("SPLIT", 60), ("DEPTH", 2), ("SAMPLE", 100), ("BLOCK", 50), ("TILE", 16)):  # several rounds
         monkeypatch.setattr(forest, k, v)
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, key int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in forest.near_vectors(df).collect()}
@@ -223,3 +223,22 @@ def test_vectors(spark, monkeypatch):
     found, all_ = sum(x[0] for x in got.values()), sum(x[0] for x in want.values())
     assert found <= all_ and all(got[i][0] <= want[i][0] for i in want) and found >= 0.99 * all_
     assert forest.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_at_production_parameters(spark):
+    """Recall of pairs just above the threshold in a label of many leaves; ids that repeat."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((6000, 32))
+    y -= (y * x[:6000]).sum(1, keepdims=True) * x[:6000]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.981, 0.999, (6000, 1))
+    y = c * x[:6000] + np.sqrt(1 - c * c) * y
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.r_[x, y])] + [(3, x[7].tolist(), 1)]
+    got = {}
+    for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect():
+        got.setdefault(r.vec_id, []).append(r)
+    met = sum(got[12_000 + i][0].n_links >= 1 and got[12_000 + i][0].component_id == (3 if i == 7 else i) for i in range(6000))
+    assert met >= 0.995 * 6000
+    assert len(got[3]) == 2 and {r.component_id for r in got[3] + got[7]} == {3} and sum(len(v) for v in got.values()) == len(rows)

@@ -1,9 +1,14 @@
 """Embedding near-duplicates by a forest of random-projection trees with spill overlap (operator 4).
 
 Equal vectors of a label are one class. A tree splits at the median projection on a random direction, recursively;
-classes within the spill zone of a split go both ways. TREES trees are fitted on a bounded sample and deal out every
-class. Classes of one label in one leaf are compared in double precision, in blocks where a leaf holds many. A pair
-that meets in several leaves counts in the first only, so tasks return counts and spanning forests, never pairs.
+classes within the spill zone of a split go both ways. Each of TREES trees grows in rounds: a round splits every leaf of
+more than SPLIT classes of a label by a subtree of up to DEPTH levels, fitted in a task on about SAMPLE of the leaf's
+classes, until no leaf is that large or splitting one parts nothing, as in a cluster of vectors that all link. So the
+depth follows the data, and the driver holds no vectors.
+
+Classes of one label in one leaf are compared in double precision, in blocks where a leaf holds many. A pair that meets
+in several leaves counts in the first only, so tasks return counts and spanning forests, never pairs. Only ids travel
+while trees grow; a vector travels once to its list of leaves and once to each leaf, in the width that it came in.
 
 The spill zone is 1.5 standard deviations of the projected difference of two vectors at the cosine threshold, which
 parts such a pair at about one split in 200; it must be parted in every tree to be lost.
@@ -17,65 +22,62 @@ from math import ceil, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vekspar.llm.common import Links, block_pairs, by_group, components, written
+from vekspar.llm.words import mix
 
 COSINE = 0.98
 TREES = 4
-LEAF = 256
-SAMPLE, SAMPLE_BYTES = 32_768, 32_000_000
+LEAF, SPLIT = 256, 1024
+DEPTH, SAMPLE = 8, 4096
+CUTS_BYTES = 32_000_000
 BLOCK = 2048
 TILE = 512
 SPILL = 0.75
 
 
-def _directions(tree: int, nodes: int, dim: int) -> np.ndarray:
-    d = np.random.default_rng(1000 + tree).standard_normal((nodes, dim))
+def _directions(leaf: int, nodes: int, dim: int) -> np.ndarray:
+    d = np.random.default_rng(abs(leaf) + 1000).standard_normal((nodes, dim))
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, depth: int) -> np.ndarray:
-    """The split points of TREES trees over unit vectors, nodes numbered as in a heap."""
-    cuts = np.zeros((TREES, 2**depth - 1))
-    for t in range(TREES):
-        d, node = _directions(t, 2**depth - 1, x.shape[1]), np.zeros(len(x), np.int64)
-        for level in range(depth):
-            p = np.einsum("ij,ij->i", x, d[node])
-            order = np.lexsort((p, node))
-            first = np.searchsorted(node[order], np.arange(2**level - 1, 2 ** (level + 1)))
-            for i, (s, e) in enumerate(zip(first, first[1:], strict=False)):
-                if e > s:
-                    cuts[t, 2**level - 1 + i] = np.median(p[order[s:e]])
-            node = 2 * node + 1 + (p > cuts[t, node])
+def fit(x: np.ndarray, leaf: int, depth: int) -> np.ndarray:
+    """The split points of a leaf's subtree over unit vectors, nodes numbered as in a heap."""
+    cuts, d, node = np.zeros(2**depth - 1), _directions(leaf, 2**depth - 1, x.shape[1]), np.zeros(len(x), np.int64)
+    for level in range(depth):
+        p = np.einsum("ij,ij->i", x, d[node])
+        order = np.lexsort((p, node))
+        first = np.searchsorted(node[order], np.arange(2**level - 1, 2 ** (level + 1)))
+        for i, (s, e) in enumerate(zip(first, first[1:], strict=False)):
+            if e > s:
+                cuts[2**level - 1 + i] = np.median(p[order[s:e]])
+        node = 2 * node + 1 + (p > cuts[node])
     return cuts
 
 
-def leaves(x: np.ndarray, cuts: np.ndarray, depth: int, spill: float) -> list[np.ndarray]:
-    """Each unit vector's leaves in rising order, numbered across trees."""
-    row, leaf = [], []
-    for t in range(TREES):
-        d = _directions(t, 2**depth - 1, x.shape[1])
-        at, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(depth):
-            p = np.einsum("ij,ij->i", x[at], d[node]) - cuts[t, node]
-            low, high = p <= spill, p > -spill
-            at, node = np.r_[at[low], at[high]], np.r_[2 * node[low] + 1, 2 * node[high] + 2]
-        row.append(at)
-        leaf.append(node + t * 2 ** (depth + 1))
-    row, leaf = np.concatenate(row), np.concatenate(leaf)
-    order = np.lexsort((leaf, row))
-    return np.split(leaf[order], np.searchsorted(row[order], np.arange(1, len(x))))
-
-
-def _unit(data: Iterable[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), np.float64).reshape(-1, dim)
+def children(x: np.ndarray, leaf: int, cuts: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child leaf) of unit vectors in the leaf's subtree."""
+    depth, d = int(log2(len(cuts) + 1)), _directions(leaf, len(cuts), x.shape[1])
+    at, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for _ in range(depth):
+        p = np.einsum("ij,ij->i", x[at], d[node]) - cuts[node]
+        low, high = p <= spill, p > -spill
+        at, node = np.r_[at[low], at[high]], np.r_[2 * node[low] + 1, 2 * node[high] + 2]
+    return at, (mix(node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(leaf)) >> np.uint64(1)).astype(np.int64)
+
+
+def _unit(data: Iterable[bytes], dim: int, width: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(data), f"f{width}").reshape(-1, dim).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, key) of each row, key null for one that links with nothing; (key, rep, weight, label, dim, vec) of each class."""
+def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(vec_id, key) of each row, key null for one that links with nothing; (key, rep, weight, label, dim, vec) of each class; bytes of a component."""
+    kind = embeddings.schema["embedding"].dataType
+    width = 4 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,13 +86,77 @@ def _classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
                 x = np.array([np.nan if c is None else c for c in v], np.float64) + 0.0 if lab is not None and v else np.zeros(0)
                 top = np.abs(x).max() if len(x) else 0.0
                 ok = np.isfinite(top) and top > 0
-                vecs.append((x / top if ok and not 1e-100 < top < 1e100 else x).tobytes() if ok else None)
+                vecs.append((x / top if ok and not 1e-100 < top < 1e100 else x).astype(f"f{width}").tobytes() if ok else None)
                 keys.append(blake2b(vecs[-1] + str(lab).encode(), digest_size=16).digest() if ok else None)
             yield pa.RecordBatch.from_arrays([b.column("vec_id").cast("int64"), b.column("label").cast("int64"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "label", "key", "vec"])
 
     rows = written(embeddings.select("vec_id", "label", "embedding").mapInArrow(run, "vec_id long, label long, key binary, vec binary"), "vectors")
     c = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    return rows.select("vec_id", "key"), written(c.withColumn("dim", F.length("vec") / 8), "vector-classes")
+    return rows.select("vec_id", "key"), written(c.withColumn("dim", (F.length("vec") / width).cast("int")), "vector-classes"), width
+
+
+def _grow(mine: DataFrame, dim: int, width: int, spill: float) -> DataFrame:
+    """(rep, label, leaf, count): the leaves of each class (rep, label, vec) that hold another of its label."""
+    shape = "rep long, label long, leaf long, parent long"
+
+    def fitted(g: dict) -> Iterable[pa.RecordBatch]:
+        leaf, label, n = (g[k][0].as_py() for k in ("leaf", "label", "count"))
+        x = _unit(g["vec"].to_pylist(), dim, width)
+        depth = max(1, min(ceil(log2(n / LEAF)), DEPTH, int(log2(max(2, len(x) / 16)))))
+        yield pa.RecordBatch.from_arrays([pa.array([leaf]), pa.array([label]), pa.array([n]), pa.array([fit(x, leaf, depth).tobytes()], pa.binary())], ["leaf", "label", "count", "cuts"])
+
+    def split(rows: list[tuple], x: np.ndarray) -> pa.RecordBatch:
+        """rows: (rep, label, leaf, count, cuts, number of its vector in x)."""
+        out, by = [], {}
+        for r in rows:
+            by.setdefault(r[1:5], []).append(r)
+        for (label, leaf, n, cuts), own in by.items():
+            at, child = children(x[[r[5] for r in own]], leaf, np.frombuffer(cuts), spill)
+            out.append((np.array([r[0] for r in own], np.int64)[at], np.full(len(at), label), child, np.full(len(at), n)))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rep", "label", "leaf", "parent"])
+
+    def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(1, 16_000_000 // (8 * dim))
+        return (b.slice(s, step) for s in range(0, b.num_rows, step))
+
+    roots = F.array(*(F.lit(t).cast("long") for t in range(TREES)))
+    rows, ready, first = mine.select("rep", "label", F.explode(roots).alias("leaf"), F.lit(-1).cast("long").alias("parent")), None, True
+    while True:
+        sizes = (mine.groupBy("label").count().select("label", F.explode(roots).alias("leaf"), "count") if first else rows.groupBy("label", "leaf").count())
+        rows = written(rows.join(sizes, ["label", "leaf"]).where("count > 1"), "leaves")
+        large = (F.col("count") > SPLIT) & ((F.col("parent") < 0) | (F.col("count") < F.col("parent") * 0.9))
+        small = rows.where(~large).select("rep", "label", "leaf", "count")
+        ready = small if ready is None else ready.unionByName(small)
+        rows = rows.where(large)
+        some = rows.where(F.pmod(F.xxhash64("rep", "leaf"), F.lit(1 << 30)) < F.lit(SAMPLE * float(1 << 30)) / F.col("count"))
+        cuts = written(by_group(some.select("rep", "label", "leaf", "count").join(mine.select("rep", "vec"), "rep"), ["leaf", "label"], fitted, "leaf long, label long, count long, cuts binary"), "cuts")
+        n = cuts.count()
+        if not n:
+            return ready
+        if n * (8 << DEPTH) <= CUTS_BYTES:  # few leaves: their cuts go to the vectors
+            table = {(r.label, r.leaf): (r["count"], bytes(r.cuts)) for r in cuts.collect()}
+
+            def few(batches: Iterator[pa.RecordBatch], table: dict = table) -> Iterator[pa.RecordBatch]:
+                for whole in batches:
+                    for b in pieces(whole):
+                        reps, labels, leaves = (b.column(k).to_pylist() for k in ("rep", "label", "leaves"))
+                        todo = [(r, a, f, *table[a, f], i) for i, (r, a, own) in enumerate(zip(reps, labels, leaves, strict=True)) for f in own if (a, f) in table]
+                        if todo:
+                            yield split(todo, _unit(b.column("vec").to_pylist(), dim, width))
+
+            at = mine.select("rep", "label", "vec", roots.alias("leaves")) if first else rows.groupBy("rep").agg(F.collect_list("leaf").alias("leaves")).join(mine.select("rep", "label", "vec"), "rep")
+            rows = at.mapInArrow(few, shape)
+        else:
+
+            def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for whole in batches:
+                    for b in pieces(whole):
+                        todo = list(zip(*(b.column(k).to_pylist() for k in ("rep", "label", "leaf", "count", "cuts")), range(b.num_rows), strict=True))
+                        yield split(todo, _unit(b.column("vec").to_pylist(), dim, width))
+
+            rows = rows.select("rep", "label", "leaf").join(cuts, ["leaf", "label"]).join(mine.select("rep", "vec"), "rep").mapInArrow(many, shape)
+        rows, first = written(rows, "children"), False
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -101,30 +167,19 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     components. component_id: the smallest vec_id reachable. Rows that share a vec_id are taken as connected through it.
     """
     spark = embeddings.sparkSession
-    rows, c = _classes(embeddings)
+    rows, c, width = _classes(embeddings)
     found = None
-    for dim in sorted(int(r[0]) for r in c.select("dim").distinct().collect()):
+    for dim in sorted(r[0] for r in c.select("dim").distinct().collect()):  # a number for each length of vectors
         mine = c.where((F.col("dim") == dim) & F.col("rep").isNotNull())
-        most = mine.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-        size = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
-        depth = max(0, min(ceil(log2(max(1, most) / LEAF)) if most > LEAF else 0, int(log2(size / 16))))
-        sample = mine.orderBy(F.xxhash64("key"), "key").limit(size).select("vec").collect() if depth else []
-        cuts = fit(_unit((bytes(r[0]) for r in sample), dim), depth) if sample else np.zeros((TREES, 0))
-        spill = SPILL * sqrt(2 - 2 * cosine) / sqrt(dim)
-
-        def deal(batches: Iterator[pa.RecordBatch], dim: int = dim, cuts: np.ndarray = cuts, depth: int = depth, spill: float = spill) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    own = leaves(_unit(b.column("vec").to_pylist(), dim), cuts, depth, spill)
-                    yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("rep", "label", "weight", "vec")), pa.array([x.tolist() for x in own], pa.list_(pa.int64()))], ["rep", "label", "weight", "vec", "leaves"])
-
-        dealt = mine.select("rep", "label", "weight", "vec").mapInArrow(deal, "rep long, label long, weight long, vec binary, leaves array<long>").withColumn("leaf", F.explode("leaves"))
-        sizes = dealt.groupBy("leaf", "label").count().where("count > 1")
-        dealt = block_pairs(dealt.join(sizes, ["leaf", "label"]), "leaf", "rep", F.ceil(F.col("count") / BLOCK)).drop("count")
+        own = _grow(mine, dim, width, SPILL * sqrt(2 - 2 * cosine) / sqrt(dim))
+        blocks: Column = F.ceil(F.col("count") / BLOCK)
+        own = own.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("leaf", blocks.alias("blocks")))).alias("own"))
+        dealt = mine.select("rep", "label", "weight", "vec").join(own, "rep").withColumn("leaves", F.col("own.leaf")).withColumn("at", F.explode("own"))
+        dealt = block_pairs(dealt.select("rep", "label", "weight", "vec", "leaves", "at.leaf", "at.blocks"), "leaf", "rep", F.col("blocks")).drop("blocks")
 
         def compare(g: dict, dim: int = dim) -> Iterable[pa.RecordBatch]:
             ids, leaf = g["rep"].to_numpy(), g["leaf"][0].as_py()
-            x, own, within = _unit(g["vec"].to_pylist(), dim), g["own"].to_numpy(), g["bi"][0] == g["bj"][0]
+            x, own, within = _unit(g["vec"].to_pylist(), dim, width), g["own"].to_numpy(), g["bi"][0] == g["bj"][0]
             flat, length = g["leaves"].values.to_numpy(), g["leaves"].value_lengths().to_numpy()
             who, early = np.repeat(np.arange(len(ids)), length), flat < leaf
             seen, column = np.unique(flat[early], return_inverse=True)
