@@ -57,16 +57,48 @@ def hamming(a: Column, b: Column) -> Column:
 COLUMNS: dict[str, Callable[[Column, Column], Column]] = {"InnerProduct": inner_product, "L2": squared_l2, "Cosine": cosine, "Hamming": hamming}
 
 
-def scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Scores of all rows of x against all of q, in double precision, rounded so that equal vectors tie on any plan."""
+def significant(v: np.ndarray, digits: int = 12) -> np.ndarray:
+    """v rounded to so many significant digits, at any magnitude, so that equal vectors tie on any plan."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        place = np.floor(np.log10(np.abs(v)))
+        scale = 10.0 ** np.clip(digits - 1 - np.where(np.isfinite(place), place, 0), -300, 300)
+        out = np.rint(v * scale) / scale
+    return np.where(np.isfinite(out), out, v) + 0.0
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        x = x / np.abs(x).max(-1, keepdims=True)
+        return x / np.sqrt((x * x).sum(-1, keepdims=True))
+
+
+def rough(metric: str, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Scores of all rows of x against all of q by one matrix product, and a bound of their error; Hamming's are exact."""
     if metric == "Hamming":
-        return np.bitwise_count(x[:, None, :] ^ q[None, :, :]).sum(2).astype(np.float64)
+        s = np.zeros((len(x), len(q)))
+        for w in range(x.shape[1]):
+            s += np.bitwise_count(x[:, w][:, None] ^ q[:, w])
+        return s, 0.0
     x, q = x.astype(np.float64), q.astype(np.float64)
+    eps = 8 * (x.shape[1] + 4) * np.finfo(np.float64).eps
     if metric == "Cosine":
-        with np.errstate(invalid="ignore", divide="ignore"):
-            x, q = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
-    dot = x @ q.T
+        s = _unit(x) @ _unit(q).T
+        return s, eps + 1e-11 * np.abs(s)  # the last term is exact()'s rounding
+    xx, qq = np.sqrt((x * x).sum(1))[:, None], np.sqrt((q * q).sum(1))[None]
+    if metric == "InnerProduct":
+        s = x @ q.T
+        return s, eps * xx * qq + 1e-11 * np.abs(s)
+    s = xx * xx + qq * qq - 2 * (x @ q.T)
+    return s, eps * (xx + qq) ** 2 + 1e-11 * np.abs(s)
+
+
+def exact(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Scores of rows of x against the vector q in double precision, L2 by differences, whatever the vectors' scale; a zero vector's cosine is NaN."""
+    if metric == "Hamming":
+        return np.bitwise_count(x ^ q).sum(1).astype(np.float64)
+    x, q = x.astype(np.float64), q.astype(np.float64)
     if metric == "L2":
-        dot = (x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * dot
-        dot = np.maximum(dot, 0)
-    return np.round(dot, 9) + 0.0
+        return significant(((x - q) ** 2).sum(1))
+    if metric == "Cosine":
+        x, q = _unit(x), _unit(q)
+    return significant((x * q).sum(1))

@@ -1,11 +1,12 @@
 """Exact top-k search, score bounds, paging and multi-vector fusion.
 
 The kernel is one scan: the queries, a request's literal list, go to the tasks in blocks of bounded size; each Arrow
-batch is scored by one matrix product, a task keeps k rows for each query, and only those are shuffled, by query. So
-the shuffle is tasks x queries x k rows whatever the table holds. Filters stay below the kernel, at the Parquet scan.
+batch is scored roughly by matrix products of at most CELLS scores, with a bound of their error; rows that may be among
+the k best are scored exactly. A task keeps k rows for each query, and only those are shuffled, by query. So the shuffle
+is tasks x queries x k rows whatever the table holds. Filters stay below the kernel, at the Parquet scan.
 
-Scores are in double precision, rounded to nine digits, with ties by id, so results don't depend on the plan. L2 is
-squared. Rows without a vector, or with one of another length, are never found.
+Scores are in double precision at any scale of the vectors, to twelve significant digits, with ties by id, so results
+don't depend on the plan. L2 is squared. Rows without a vector, or with one of another length, are never found.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vekspar.errors import param
-from vekspar.functions.distance import COLUMNS, HIGHER, scores
+from vekspar.functions.distance import COLUMNS, HIGHER, exact, rough
+from vekspar.sources.scratch import written
 
 QUERY_BYTES = 16_000_000
+CELLS = 4_000_000
 
 
 def query_blocks(queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -77,37 +80,43 @@ def top_k(
 
         def run(batches: Iterator[pa.RecordBatch], first: int = first, block: np.ndarray = block, probes: list | None = probes) -> Iterator[pa.RecordBatch]:
             best: list[tuple[np.ndarray, pa.Array]] = []
+            sign = -1.0 if up else 1.0  # sign * score: less is better
+            worst = np.full(len(block), np.inf)
             for b in batches:
                 names = b.schema.names
                 ids = b.column(names.index(id_col))
                 if not best:
                     best = [(np.zeros(0), ids.slice(0, 0)) for _ in block]
                 rows, x = matrix(b.column(names.index(vector)), block.shape[1], metric)
-                if not len(rows):
-                    continue
-                s = scores(metric, x, block)
                 own = b.column(names.index(lists[0])).take(pa.array(rows)).to_numpy(zero_copy_only=False) if lists else None
-                for i in range(len(block)):
-                    v = s[:, i]
-                    ok = (v >= low) & (v <= high)
-                    if own is not None:
-                        ok &= np.isin(own, probes[i])
-                    if len(best[i][0]) >= k:
-                        worst = best[i][0].min() if up else best[i][0].max()
-                        ok &= (v >= worst) if up else (v <= worst)
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    val = np.r_[best[i][0], v[at]]
-                    who = pa.concat_arrays([best[i][1], ids.take(pa.array(rows[at]))])
-                    if len(val) > k:  # all rows that tie with the k-th stay until ids decide
-                        cut = np.partition(-val if up else val, k - 1)[k - 1]
-                        keep = np.flatnonzero((-val if up else val) <= cut)
-                        if len(keep) > k:
-                            order = pc.sort_indices(pa.table({"s": -val[keep] if up else val[keep], "i": who.take(pa.array(keep))}), sort_keys=[("s", "ascending"), ("i", "ascending")])
-                            keep = keep[order.to_numpy()[:k]]
-                        val, who = val[keep], who.take(pa.array(keep))
-                    best[i] = (val, who)
+                step = max(1, CELLS // len(block))
+                for r in range(0, len(rows), step):
+                    part = x[r : r + step]
+                    s, error = rough(metric, part, block)
+                    may = (s + error >= low) & (s - error <= high) & (sign * s - error <= worst)
+                    for i in np.flatnonzero(may.any(0)):
+                        at = np.flatnonzero(may[:, i])
+                        if own is not None:
+                            at = at[np.isin(own[r + at], probes[i])]
+                        e = error[at, i] if isinstance(error, np.ndarray) else np.full(len(at), error)
+                        inside = (s[at, i] - e >= low) & (s[at, i] + e <= high)
+                        if inside.sum() > k:  # the k best are among these, whatever the errors
+                            at = at[sign * s[at, i] - e <= np.partition((sign * s[at, i] + e)[inside], k - 1)[k - 1]]
+                        v = exact(metric, part[at], block[i])
+                        ok = (v >= low) & (v <= high)
+                        if not ok.any():
+                            continue
+                        val = np.r_[best[i][0], v[ok]]
+                        who = pa.concat_arrays([best[i][1], ids.take(pa.array(rows[r + at[ok]]))])
+                        if len(val) > k:  # all rows that tie with the k-th stay until ids decide
+                            keep = np.flatnonzero(sign * val <= np.partition(sign * val, k - 1)[k - 1])
+                            if len(keep) > k:
+                                order = pc.sort_indices(pa.table({"s": sign * val[keep], "i": who.take(pa.array(keep))}), sort_keys=[("s", "ascending"), ("i", "ascending")])
+                                keep = keep[order.to_numpy()[:k]]
+                            val, who = val[keep], who.take(pa.array(keep))
+                        best[i] = (val, who)
+                        if len(val) >= k:
+                            worst[i] = (sign * val).max()
             for i, (val, who) in enumerate(best):
                 if len(val):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(val), first + i), pa.int64()), who, pa.array(val)], ["qid", id_col, "_score"])
@@ -123,10 +132,35 @@ def ranked(found: DataFrame, k: int, higher: bool, id_col: str = "_id") -> DataF
     return found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
 
+def _query_blocks(queries: DataFrame, vector: str) -> list[DataFrame]:
+    """A table of queries in parts of about QUERY_BYTES."""
+    size = queries.agg(F.sum(F.size(vector).cast("long") * 8 + 32)).first()[0] or 0
+    n = max(1, -(-size // QUERY_BYTES))
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
 def top_k_columns(data: DataFrame, vector: str, queries: DataFrame, k: int, metric: str = "InnerProduct", id_col: str = "_id") -> DataFrame:
-    """top_k over a DataFrame of queries (qid, q) as plain Columns, without Python; queries must be a few rows, as they are broadcast."""
-    s = F.round(COLUMNS[metric](F.col(vector), F.col("q")), 9).alias("_score")
-    return ranked(data.crossJoin(F.broadcast(queries)).select("qid", id_col, s), k, HIGHER[metric], id_col)
+    """top_k over a DataFrame of queries (qid, q) as plain Columns, without Python. Queries are broadcast in parts of about QUERY_BYTES, a scan for each."""
+    out = None
+    for part in _query_blocks(queries, "q"):
+        one = ranked(data.crossJoin(F.broadcast(part)).select("qid", id_col, COLUMNS[metric](F.col(vector), F.col("q")).alias("_score")), k, HIGHER[metric], id_col)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def top_k_rows(data: DataFrame, vector: str, queries: DataFrame, k: int, metric: str = "InnerProduct", id_col: str = "_id", **more) -> DataFrame:
+    """top_k over a table of queries (qid, q) of any size: parts of about QUERY_BYTES come to the driver one at a time, and where there are several each one's result is written."""
+    parts = _query_blocks(queries, "q")
+    out = None
+    for part in parts:
+        rows = part.select("qid", "q").orderBy("qid").collect()
+        if rows:
+            names = data.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"qid long, _own {dict(queries.dtypes)['qid']}")
+            one = top_k(data, vector, np.array([r[1] for r in rows]), k, metric, id_col, **more).join(F.broadcast(names), "qid")  # a row for each query of the part
+            one = one.select(F.col("_own").alias("qid"), id_col, "_score", "_rank")
+            one = written(one, "top-k") if len(parts) > 1 else one
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else data.sparkSession.createDataFrame([], f"qid long, `{id_col}` {dict(data.dtypes)[id_col]}, _score double, _rank int")
 
 
 def paged(found: DataFrame, page_size: int, page_num: int) -> DataFrame:

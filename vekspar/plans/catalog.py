@@ -1,4 +1,4 @@
-"""Databases, spaces, aliases, users, roles and settings, kept as one JSON file beside the data."""
+"""Databases, spaces, aliases, users, roles and settings, kept as versions of one JSON file beside the data."""
 
 from __future__ import annotations
 
@@ -34,11 +34,20 @@ def is_slow(limit: int, nprobe: int = 0, ncentroids: int = 0, conditions: int =
 
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
-        self.files, self.path = Files(spark), f"{root.rstrip('/')}/catalog.json"
-        self.state: dict[str, Any] = json.loads(self.files.read(self.path)) if self.files.exists(self.path) else {"dbs": {}, "aliases": {}, "users": {"root": {"role": "root"}}, "roles": {}, "config": CONFIG}
+        self.files, self.path = Files(spark), f"{root.rstrip('/')}/catalog"
+        self.version, self.begun, state = self.files.newest(self.path)
+        self.state: dict[str, Any] = state or {"dbs": {}, "aliases": {}, "users": {"root": {"role": "root"}}, "roles": {}, "config": CONFIG}
 
     def _save(self) -> None:
-        self.files.write(self.path, json.dumps(self.state))
+        """The next version; an error if another session has changed the catalog since this one read it (open it again then)."""
+        try:
+            self.files.commit(self.path, self.begun + 1, json.dumps(self.state))
+        except FileExistsError:
+            raise EngineError(Code.INTERNAL_ERROR, "the catalog was changed by another session") from None
+        self.begun += 1
+        self.version = self.begun
+        for v in range(max(1, self.version - 12), self.version - 8):
+            self.files.delete(f"{self.path}-{v}.json")
 
     @staticmethod
     def _new(where: dict, name: str, code: Code) -> None:

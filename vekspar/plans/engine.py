@@ -11,6 +11,8 @@ name fields (`_score` is the default), ties go by _id, and a delete by filter wi
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import wraps
+from time import perf_counter
 from typing import Any
 
 import numpy as np
@@ -26,6 +28,7 @@ from vekspar.operators.filters import to_column
 from vekspar.operators.partition import add_ranges, counts, drop_ranges
 from vekspar.operators.search import fused, paged, recall, top_k, weighted_ranker
 from vekspar.plans.catalog import Catalog
+from vekspar.plans.indexes import Indexing, StoredIndex, enough_rows
 from vekspar.schema import MAX_INDEXED_STRING, MAX_STRING, Index, Space, timestamp
 from vekspar.sources.store import Store
 from vekspar.streaming.realtime import merged, stream_upserts
@@ -35,11 +38,20 @@ UNTRAINED = 100
 
 
 class Engine:
-    """All spaces under a root folder. Indexes that were built stay with the Engine and are rebuilt from their space after a restart."""
+    """All spaces under a root folder, with their indexes, which are there again after a restart."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.catalog = spark, root.rstrip("/"), Catalog(spark, root)
-        self._built: dict[tuple[str, str, str], tuple[ann.VectorIndex, DataFrame, int]] = {}
+        self._calls: dict[str, list[float]] = {}
+        self._models: dict[tuple[str, str], ann.VectorIndex] = {}
+
+    def _stored(self, s: Store, index: Index) -> StoredIndex:
+        out = StoredIndex(s, index)
+        if out.trained:
+            key = (out.root, out.state["model"])
+            self._models = {k: v for k, v in self._models.items() if k[0] != out.root or k == key}
+            out._model = self._models.setdefault(key, out.model) if key not in self._models else self._models[key]
+        return out
 
     # spaces
 
@@ -76,16 +88,26 @@ class Engine:
             raise param(f"no index {index_name!r}")
         space.indexes = [i for i in space.indexes if i.name != index_name]
         self.catalog.put_space(db, space)
-        self._built = {k: v for k, v in self._built.items() if k != (db, space.name, index_name)}
+        self.store_files.delete(f"{self.root}/{db}/{space.name}/index/{index_name}")
 
     def indexes(self, db: str, name: str) -> DataFrame:
-        rows = [(i.name, i.type, i.fields, i.status) for i in self.catalog.space(db, name).indexes]
+        """name, type, fields, status of each index: READY, BUILDING, FAILED, or UNTRAINED for a vector index that no build has fitted."""
+        s = self.store(db, name)
+        rows = [(i.name, i.type, i.fields, "UNTRAINED" if i.status == "READY" and i.type in ann.KINDS and i.type != "FLAT" and not StoredIndex(s, i).trained else i.status) for i in s.space.indexes]
         return self.spark.createDataFrame(rows, "name string, type string, fields array<string>, status string")
 
     def describe(self, db: str, name: str) -> DataFrame:
         rows = [(f.name, f.type, f.dimension, f.format) for f in self.catalog.space(db, name).fields.values()]
         return self.spark.createDataFrame(rows, "name string, type string, dimension int, format string")
 
+    def status(self, db: str, name: str) -> DataFrame:
+        """A row: space, version, buckets, doc_num, size (bytes), status (green, or yellow while an index has buckets to take, or red if one failed)."""
+        s = self.store(db, name)
+        kinds = [i for i in s.space.indexes if i.type in ann.KINDS and i.type != "FLAT"]
+        late = any(StoredIndex(s, i).describe()["changed"] for i in kinds)
+        color = "red" if any(i.status == "FAILED" for i in s.space.indexes) else "yellow" if late else "green"
+        return self.spark.createDataFrame([(s.space.name, s.manifest["version"], s.manifest["n"], s.manifest["rows"], s.size(), color)], "space string, version long, buckets int, doc_num long, size long, status string")
+
     def stats(self, db: str, name: str) -> DataFrame:
         """doc_num for each range, or for the whole space."""
         s = self.store(db, name)
@@ -124,7 +146,7 @@ class Engine:
             rows.append((None if d.get("_id") in (None, "") else str(d["_id"]), *(self._value(space, n, d) for n in space.fields), pos))
         own = [T.StructField(f.name, f.dataType) for f in space.spark_schema().fields if f.name != "_docid"]
         df = self.spark.createDataFrame(rows, T.StructType([*own, T.StructField("_pos", T.LongType())]))
-        return df.withColumn("_id", F.coalesce("_id", F.expr("uuid()")))
+        return df.withColumn("_id", F.coalesce("_id", F.xxhash64(F.expr("uuid()")).cast("string")))  # a new key: 64 bits as text
 
     @staticmethod
     def _value(space: Space, name: str, doc: Mapping[str, Any]) -> Any:
@@ -237,16 +259,20 @@ class Engine:
 
     @staticmethod
     def _sort(space: Space, sort: Any) -> list:
-        """A sort: a field, {field: asc | desc}, {field: {order}} or a list of them."""
+        """A sort: a field, {field: asc | desc}, {field: {order, mode: min | max for arrays, missing: _first | _last}} or a list of them."""
         out = []
         for x in [] if not sort else sort if isinstance(sort, list) else [sort]:
-            name, how = (x, "asc") if isinstance(x, str) else next(iter(x.items()))
-            how = how.get("order", "asc") if isinstance(how, dict) else how
+            name, how = (x, "desc" if x == "_score" else "asc") if isinstance(x, str) else next(iter(x.items()))
+            more = how if isinstance(how, dict) else {"order": how}
+            how, mode, missing = more.get("order", "asc"), more.get("mode"), more.get("missing", "_last")
             if name not in space.fields and name not in ("_id", "_score"):
                 raise param(f"cannot sort by {name!r}")
-            if how not in ("asc", "desc"):
-                raise param(f"sort order {how!r}")
-            out.append(F.desc(name) if how == "desc" else F.asc(name))
+            if how not in ("asc", "desc") or mode not in (None, "min", "max") or missing not in ("_first", "_last"):
+                raise param(f"sort {x!r}")
+            c = F.col(name)
+            if name in space.fields and space.fields[name].type == "string_array":  # by its least or greatest string
+                c = F.array_max(c) if mode == "max" or mode is None and how == "desc" else F.array_min(c)
+            out.append((c.desc_nulls_first() if missing == "_first" else c.desc_nulls_last()) if how == "desc" else c.asc_nulls_first() if missing == "_first" else c.asc_nulls_last())
         return out
 
     def search(self, db: str, name: str, request: Mapping[str, Any]) -> DataFrame:
@@ -319,38 +345,68 @@ class Engine:
 
     def _one(self, db, s: Store, index: Index | None, field: str, q: np.ndarray, k: int, metric: str, low, high, data: DataFrame, where, request) -> DataFrame:
         brute = int(request.get("is_brute_search") or 0)
-        built = self._built.get((db, s.space.name, index.name)) if index else None
         bounds = {"min_score": low, "max_score": high}
-        if brute or built is None or index.type == "FLAT":
-            if not brute and index is not None and index.type != "FLAT" and built is None and not s.space.realtime and data.limit(UNTRAINED + 1).count() > UNTRAINED:
+        stored = self._stored(s, index) if index is not None and index.type != "FLAT" and not brute else None
+        if stored is None or not stored.trained:
+            if stored is not None and not s.space.realtime and s.manifest["rows"] > UNTRAINED:
                 raise EngineError(Code.SEARCH_ENGINE_ERR, f"index {index.name} is not trained")
             return top_k(data, field, q, k, metric, where=where, **bounds)
-        model, table, version = built
-        nprobe = (request.get("index_params") or {}).get("nprobe")
-        extra = {"recall_num": (request.get("index_params") or {}).get("recall_num")} if isinstance(model, ann._Coded) else {}
-        live = table if version == s.manifest["version"] else table.join(data.select("_id", F.col(field).alias("_now")), "_id").where(F.col(field) == F.col("_now")).drop("_now")
-        found = model.search(self._in_partitions(live, request), q.tolist(), k, nprobe, where=where, **bounds, **extra)
-        if version == s.manifest["version"]:
-            return found
-        fresh = data.join(table.select("_id", F.col(field).alias("_old")), "_id", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col(field))).drop("_old")
-        return merged(found, top_k(fresh, field, q, k, metric, where=where, **bounds), k, HIGHER[metric])
-
-    def rebuild_index(self, db: str, name: str, index_name: str | None = None) -> None:
-        """Fits and assigns the vector indexes of a space (or one); its rows are written with their lists."""
+        model, more = stored.model, request.get("index_params") or {}
+        extra = {"recall_num": more.get("recall_num")} if isinstance(model, ann._Coded) else {"ef": more.get("efSearch") or more.get("l_search")} if isinstance(model, ann.GraphIndex) else {}
+        rows, late = stored.rows(), stored.changed()
+        found = None if rows is None else model.search(self._in_partitions(rows, request), q.tolist(), k, more.get("nprobe"), where=where, **bounds, **extra)
+        if not late:
+            return found if found is not None else top_k(data, field, q, k, metric, where=where, **bounds)
+        fresh = top_k(self._in_partitions(s.read(late), request), field, q, k, metric, where=where, **bounds)  # what the index has not taken
+        return fresh if found is None else merged(found, fresh, k, HIGHER[metric])
+
+    def _vector_indexes(self, s: Store, index_name: str | None) -> list[Index]:
+        return [i for i in s.space.indexes if i.type in ann.KINDS and i.type != "FLAT" and index_name in (None, i.name)]
+
+    def _mark(self, db: str, name: str, index_name: str, status: str) -> None:
+        space = self.catalog.space(db, name)
+        for i in space.indexes:
+            if i.name == index_name and i.status != status:
+                i.status = status
+                self.catalog.put_space(db, space)
+
+    def rebuild_index(self, db: str, name: str, index_name: str | None = None, drop_before_rebuild: bool = False, describe: bool = False) -> DataFrame | None:
+        """Fits and assigns the vector indexes of a space (or one); describe: only tells their state."""
         s = self.store(db, name)
-        for i in s.space.indexes:
-            if i.type in ann.KINDS and i.type != "FLAT" and (index_name in (None, i.name)):
-                f = s.space.fields[i.fields[0]]
-                params = {k: v for k, v in i.params.items() if k != "metric_type"}
-                rows = s.read()
-                params.setdefault("ncentroids", ann.default_lists(rows.count()))
-                model = ann.make(i.type, f.name, f.dimension // 8 if s.space.is_binary(f.name) else f.dimension, i.params.get("metric_type") or "InnerProduct", **params).fit(rows)
-                at = f"{s.root}/index/{i.name}/v{s.manifest['version']}"
-                model.assign(rows).write.mode("overwrite").partitionBy("list_id").parquet(at)
-                self._built[db, s.space.name, i.name] = (model, self.spark.read.parquet(at), s.manifest["version"])
+        todo = self._vector_indexes(s, index_name)
+        if describe:
+            rows = [tuple(StoredIndex(s, i).describe().values()) for i in todo]
+            return self.spark.createDataFrame(rows, "name string, trained boolean, buckets int, changed int")
+        for i in todo:
+            self._mark(db, name, i.name, "BUILDING")
+            try:
+                StoredIndex(s, i).build(drop_before_rebuild)
+            except Exception:
+                self._mark(db, name, i.name, "FAILED")
+                raise
+            self._mark(db, name, i.name, "READY")
+        return None
 
     force_merge = rebuild_index
 
+    def refresh_index(self, db: str, name: str, index_name: str | None = None) -> int:
+        """Takes the rows of buckets that changed since into the fitted indexes, without fitting anew; how many buckets there were."""
+        s = self.store(db, name)
+        return sum(x.refresh() for i in self._vector_indexes(s, index_name) if (x := self._stored(s, i)).trained)
+
+    def start_indexing(self, db: str, name: str) -> Indexing | None:
+        """Builds and refreshes a space's indexes in the background each refresh_interval; below 0 it is off."""
+        interval = self.catalog.space(db, name).refresh_interval
+
+        def step() -> None:
+            s = self.store(db, name)
+            for i in self._vector_indexes(s, None):
+                if not StoredIndex(s, i).trained and enough_rows(self.spark, s, i):
+                    self.rebuild_index(db, name, i.name)
+            self.refresh_index(db, name)
+
+        return None if interval < 0 else Indexing(step, interval)
+
     def delete(self, db: str, name: str, request: Mapping[str, Any]) -> DataFrame:
         """By document_ids or filters (with limit); returns the ids that went."""
         s = self.store(db, name)
@@ -385,14 +441,26 @@ class Engine:
         """The version that readers see; writes are committed as they return."""
         return self.store(db, name).manifest["version"]
 
-    def backup(self, db: str, name: str, target: str) -> None:
-        self.store(db, name).backup(target)
+    def backup(self, db: str, name: str, target: str) -> int:
+        """A new version of a backup of the space; its number."""
+        return self.store(db, name).backup(target)
+
+    def backups(self, target: str) -> DataFrame:
+        """version, status, rows of each backup under a folder."""
+        return self.spark.createDataFrame(Store.backups(self.spark, target), "version long, status string, rows long")
+
+    def delete_backup(self, target: str, version: int) -> None:
+        self.store_files.delete(f"{target}/{int(version)}")
 
-    def restore(self, db: str, name: str, source: str) -> None:
-        s = Store.restore(self.spark, source, f"{self.root}/{db}/{name}")
+    def restore(self, db: str, name: str, source: str, version: int | None = None) -> None:
+        s = Store.restore(self.spark, source, f"{self.root}/{db}/{name}", version)
         s.space.name = name
         self.catalog.put_space(db, s.space, new=True)
 
+    def metrics(self) -> DataFrame:
+        """request, calls, failed, seconds: what this Engine was asked, and the time to plan it (results are lazy)."""
+        return self.spark.createDataFrame([(k, int(v[0]), int(v[1]), v[2]) for k, v in sorted(self._calls.items())], "request string, calls long, failed long, seconds double")
+
     # adapters
 
     def similarity_search(self, db: str, name: str, field: str, vector: Sequence[float], k: int = 4, filters: Mapping[str, Any] | None = None) -> DataFrame:
@@ -400,3 +468,23 @@ class Engine:
 
     def recall(self, found: DataFrame, truth: DataFrame, at: Sequence[int] = (1, 10, 100)) -> DataFrame:
         return recall(found, truth, at)
+
+
+def _counted(name: str, f):
+    @wraps(f)
+    def call(self, *args, **kwargs):
+        own, start = self._calls.setdefault(name, [0, 0, 0.0]), perf_counter()
+        own[0] += 1
+        try:
+            return f(self, *args, **kwargs)
+        except Exception:
+            own[1] += 1
+            raise
+        finally:
+            own[2] += perf_counter() - start
+
+    return call
+
+
+for _name in ("query", "search", "upsert", "delete", "get", "rebuild_index", "refresh_index"):
+    setattr(Engine, _name, _counted(_name, getattr(Engine, _name)))

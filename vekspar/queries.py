@@ -101,8 +101,13 @@ def _asked(spark: SparkSession, d: str) -> tuple[list[int], np.ndarray]:
     return [r[0] for r in rows], np.array([r[1] for r in rows], np.float32)
 
 
+def _nine(found: DataFrame) -> DataFrame:
+    """Scores as the SQL shows them."""
+    return found.withColumn("_score", F.round("_score", 9))
+
+
 def _shown(found: DataFrame, *extra: str) -> DataFrame:
-    return found.select((F.col("qid") * 100).alias("qid"), "vec_id", F.col("_score").alias("score"), F.col("_rank").cast("long").alias("rk"), *extra)
+    return found.select((F.col("qid") * 100).alias("qid"), "vec_id", F.round("_score", 9).alias("score"), F.col("_rank").cast("long").alias("rk"), *extra)
 
 
 _Q = "q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0), x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -174,8 +179,9 @@ def _fusion(ranker: dict | None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         q = _asked(spark, d)[1]
         v = _vectors(spark, d).select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
-        parts = [top_k(v, n, x, 50, "InnerProduct", "vec_id") for n, x in (("a", q[:, :32]), ("b", q[:, 32:]))]
-        return _shown(fused(parts, weighted_ranker(["a", "b"], ranker), 50, True, "vec_id"))
+        parts = [_nine(top_k(v, n, x, 50, "InnerProduct", "vec_id")) for n, x in (("a", q[:, :32]), ("b", q[:, 32:]))]
+        found = fused(parts, weighted_ranker(["a", "b"], ranker), 50, True, "vec_id")
+        return found.select((F.col("qid") * 100).alias("qid"), "vec_id", F.col("_score").alias("score"), F.col("_rank").cast("long").alias("rk"))
 
     return run
 

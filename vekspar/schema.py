@@ -22,7 +22,7 @@ SPARK = {
     "string_array": T.ArrayType(T.StringType()), "date": T.TimestampType(), "boolean": T.BooleanType(), "vector": T.ArrayType(T.FloatType()),
 }
 SCALAR_INDEXES = ("SCALAR", "INVERTED", "BITMAP", "COMPOSITE")
-VECTOR_INDEXES = ("FLAT", "IVFFLAT", "IVFPQ", "IVFPQFastScan", "IVFRABITQ", "BINARYIVF", "HNSW", "DISKANN_STATIC", "GPU_IVFFLAT", "GPU_IVFPQ", "SCANN")
+VECTOR_INDEXES = ("FLAT", "IVFFLAT", "IVFPQ", "IVFPQFastScan", "IVFRABITQ", "BINARYIVF", "HNSW", "DISKANN_STATIC", "GPU_IVFFLAT", "GPU_IVFPQ")
 RESERVED = ("_id", "_score", "_docid", "_bucket", "partition_name")
 MAX_STRING, MAX_INDEXED_STRING = 65_535, 1024
 MAX_PARTITIONS, MAX_TOTAL_PARTITIONS = 1024, 16_384

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -25,18 +28,50 @@ class Files:
         finally:
             stream.close()
 
+    def create(self, path: str, text: str) -> None:
+        """A new file, never over another: FileExistsError where the path is taken."""
+        p, fs = self._path(path)
+        if fs.exists(p):
+            raise FileExistsError(path)
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                raise FileExistsError(path) from None
+            raise
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def commit(self, base: str, version: int, text: str) -> None:
+        """Version `version` of a document as <base>-<version>.json; FileExistsError where another writer was first. Nothing is replaced or deleted, so a crash at any point leaves the versions before it as they were."""
+        self.create(f"{base}-{version}.json", text)
+
+    def newest(self, base: str) -> tuple[int, int, dict]:
+        """(its version, the highest version begun, content) of the newest whole version; (0, begun, {}) if there is none. A version that a crash cut short is passed over."""
+        folder, name = base.rsplit("/", 1)
+        at = sorted((int(m[1]) for f in self.list(folder) if (m := re.fullmatch(re.escape(name) + r"-(\d+)\.json", f))), reverse=True)
+        for v in at:
+            try:
+                return v, at[0], json.loads(self.read(f"{base}-{v}.json"))
+            except ValueError:
+                continue
+        return 0, at[0] if at else 0, {}
+
     def write(self, path: str, text: str) -> None:
-        """Whole or not at all: written beside and renamed over."""
+        """A file that no other writer touches, replaced if it is there."""
         p, fs = self._path(path)
-        new = self.jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-        out = fs.create(new, True)
+        out = fs.create(p, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        fs.delete(p, False)
-        if not fs.rename(new, p):
-            raise OSError(f"cannot write {path}")
+
+    def size(self, path: str) -> int:
+        """Bytes below a path."""
+        p, fs = self._path(path)
+        return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
 
     def delete(self, path: str) -> None:
         p, fs = self._path(path)
