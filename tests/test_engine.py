@@ -218,3 +218,65 @@ def test_stream(engine, spark, tmp_path):
     assert engine.get("db", "s", ["1"]).first().field_int == 78 and engine.get("db", "s", ["2"]).first().field_int == 5
     assert engine.get("db", "s", ["5"]).first().day == dt.datetime(1970, 1, 6)
     assert engine.store("db", "s").read().where(F.col("field_int") == 78).count() == 2
+
+
+def test_a_crash_between_writes_loses_nothing(engine):
+    s = engine.store("db", "s")
+    version = s.manifest["version"]
+    (s.files).create(f"{s.root}/manifest-{version + 1}.json", '{"version": 2, "buck')  # cut short
+    again = engine.store("db", "s")
+    assert again.manifest["version"] == version and again.read().count() == N
+    engine.delete("db", "s", {"document_ids": ["1"]})
+    assert engine.store("db", "s").read().count() == N - 1 and engine.store("db", "s").manifest["version"] == version + 2
+
+
+def test_of_two_writers_one_wins(engine, spark):
+    a, b = engine.store("db", "s"), engine.store("db", "s")
+    a.delete(spark.createDataFrame([("1",)], "_id string"))
+    with pytest.raises(EngineError):
+        b.delete(spark.createDataFrame([("2",)], "_id string"))
+    assert sorted(map(int, ids(engine.store("db", "s").read()))) == [0, *range(2, N)]
+    one, two = Engine(spark, engine.root), Engine(spark, engine.root)
+    one.catalog.create_db("x")
+    with pytest.raises(EngineError):
+        two.catalog.create_db("y")
+    assert Engine(spark, engine.root).catalog.dbs() == ["db", "x"]
+
+
+def test_background_indexing_and_incremental_refresh(engine, spark):
+    import time
+
+    engine.create_space("db", {"name": "b", "partition_num": 4, "refresh_interval": 50, "fields": [{"name": "n", "type": "integer", "index": {"type": "SCALAR"}}, {"name": "v", "type": "vector", "dimension": D, "index": {"type": "HNSW", "name": "h", "params": {"metric_type": "L2"}}}]})
+    engine.upsert("db", "b", [{"_id": str(i), "n": i, "v": X[i].tolist()} for i in range(N)])
+    assert {r.status for r in engine.indexes("db", "b").collect() if r.name == "h"} == {"UNTRAINED"}
+    run = engine.start_indexing("db", "b")
+    for _ in range(300):
+        if engine.status("db", "b").first().status == "green":
+            break
+        time.sleep(0.2)
+    run.stop()
+    assert run.failed is None and {r.status for r in engine.indexes("db", "b").collect() if r.name == "h"} == {"READY"}
+    engine.upsert("db", "b", [{"_id": "0", "v": (X[7] + 1e-3).tolist()}])
+    d = engine.rebuild_index("db", "b", describe=True).first()
+    assert d.trained and 0 < d.changed < d.buckets and engine.status("db", "b").first().status == "yellow"
+    q = {"vectors": [{"field": "v", "feature": X[7].tolist()}], "limit": 5, "filters": where("n", "<", 100)}
+    exact = ids(engine.search("db", "b", {**q, "is_brute_search": 1}).orderBy("_rank"))
+    assert exact[:2] == ["7", "0"] and ids(engine.search("db", "b", q).orderBy("_rank")) == exact
+    assert engine.refresh_index("db", "b") == d.changed and engine.refresh_index("db", "b") == 0
+    assert ids(Engine(spark, engine.root).search("db", "b", q).orderBy("_rank")) == exact
+    assert {r.request: r.calls for r in engine.metrics().collect()}["search"] == 2
+    with pytest.raises(EngineError):
+        engine.create_space("db", {"name": "c", "fields": [{"name": "v", "type": "vector", "dimension": D, "index": {"type": "SCANN"}}]})
+
+
+def test_backup_versions(engine, tmp_path):
+    at = str(tmp_path / "b")
+    assert engine.backup("db", "s", at) == 1
+    engine.delete("db", "s", {"document_ids": ["1"]})
+    assert engine.backup("db", "s", at) == 2
+    assert [tuple(r) for r in engine.backups(at).collect()] == [(1, "COMPLETED", N), (2, "COMPLETED", N - 1)]
+    engine.restore("db", "one", at, 1)
+    engine.delete_backup(at, 1)
+    with pytest.raises(EngineError):
+        engine.restore("db", "two", at, 1)
+    assert engine.stats("db", "one").first().doc_num == N

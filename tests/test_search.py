@@ -88,3 +88,48 @@ def test_vector_files(spark, tmp_path):
     (tmp_path / "a.fvecs").write_bytes(b"".join(np.int32(4).tobytes() + r.tobytes() for r in x))
     got = read_vecs(spark, str(tmp_path / "a.fvecs"), "fvecs").orderBy("row").collect()
     assert np.array_equal(np.array([r.vector for r in got], np.float32), x)
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e12])
+@pytest.mark.parametrize("metric", ["L2", "InnerProduct", "Cosine"])
+def test_scores_at_any_scale(spark, scale, metric):
+    x = (np.arange(1, 41)[:, None] * [1.0, 0.5] + [0, 3.0]) * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, v array<double>")
+    q = x[[33]] * [1, 1.0001]
+    got = search.top_k(df, "v", q, 5, metric).orderBy("_rank").collect()
+    s = {"L2": ((x - q) ** 2).sum(1), "InnerProduct": (x * q).sum(1), "Cosine": (x * q).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(q)}[metric]
+    want = np.argsort(s if metric == "L2" else -s, kind="stable")[:5]
+    assert [r._id for r in got] == want.tolist() and np.allclose([r._score for r in got], s[want], rtol=1e-9)
+
+
+def test_small_tiles_and_query_tables(spark, data, monkeypatch):
+    want = search.top_k(data, "v", Q, 7, "L2").collect()
+    monkeypatch.setattr(search, "CELLS", 30)
+    assert sorted(search.top_k(data, "v", Q, 7, "L2").collect()) == sorted(want)
+    monkeypatch.setattr(search, "QUERY_BYTES", 2 * 16 * 8)
+    table = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(Q.astype(float))], "qid long, q array<double>")
+    for got in (search.top_k_rows(data, "v", table, 7, "L2"), search.top_k_columns(data, "v", table, 7, "L2")):
+        assert [r[:2] for r in sorted(map(tuple, got.select("qid", "_id").collect()))] == sorted((r.qid, r._id) for r in want)
+
+
+def test_registered_and_described_indexes(data):
+    from vekspar.operators.search import top_k
+
+    for text, kind in (("Flat", ann.Flat), ("IVF7,Flat", ann.IvfFlat), ("IVF7,PQ4", ann.IvfPq), ("OPQ4,IVF7,PQ4", ann.IvfPq), ("IVF7,RaBitQ9", ann.IvfRabitq), ("HNSW16", ann.GraphIndex)):
+        model = ann.from_description(text, "v", 16, "L2", recall_num=60).fit(data)
+        assert type(model) is kind
+        again = ann.VectorIndex.load(model.dump())
+        got = again.search(again.assign(data), Q.tolist(), 3, nprobe=7)
+        truth = top_k(data, "v", Q, 3, "L2")
+        assert search.recall(got, truth, (1,)).first().recall >= 0.8
+    with pytest.raises(EngineError):
+        ann.from_description("PCA4,IVF7", "v", 16)
+
+    class Mine(ann.Flat):
+        pass
+
+    ann.register("MINE", Mine)
+    try:
+        assert type(ann.make("MINE", "v", 16)) is Mine
+    finally:
+        del ann.KINDS["MINE"]

@@ -465,7 +465,7 @@ class GraphIndex(IvfFlat):
                 ok, x = matrix(b.column(names.index(vector)), dim, metric)
                 near = graph(x.astype(np.float64), links, wide)
                 code = np.concatenate([np.stack([np.full(len(ok), shard), np.arange(len(ok)), np.full(len(ok), len(ok))], axis=1), near], axis=1).astype("<i4")
-                yield pa.RecordBatch.from_arrays([*b.columns, _binary(code.view(np.uint8).reshape(len(ok), -1), ok, b.num_rows)], [*names, "code"])
+                yield pa.RecordBatch.from_arrays([*b.columns, _binary(code.view(np.uint8).reshape(len(ok), 4 * code.shape[1]), ok, b.num_rows)], [*names, "code"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, last, size = [], None, 0

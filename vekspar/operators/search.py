@@ -143,7 +143,8 @@ def top_k_columns(data: DataFrame, vector: str, queries: DataFrame, k: int, metr
     """top_k over a DataFrame of queries (qid, q) as plain Columns, without Python. Queries are broadcast in parts of about QUERY_BYTES, a scan for each."""
     out = None
     for part in _query_blocks(queries, "q"):
-        one = ranked(data.crossJoin(F.broadcast(part)).select("qid", id_col, COLUMNS[metric](F.col(vector), F.col("q")).alias("_score")), k, HIGHER[metric], id_col)
+        met = data.crossJoin(F.broadcast(part)).where(F.size(vector) == F.size("q")).select("qid", id_col, COLUMNS[metric](F.col(vector), F.col("q")).alias("_score"))
+        one = ranked(met.where(F.col("_score").isNotNull() & ~F.isnan("_score")), k, HIGHER[metric], id_col)
         out = one if out is None else out.unionByName(one)
     return out
 

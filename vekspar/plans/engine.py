@@ -30,11 +30,13 @@ from vekspar.operators.search import fused, paged, recall, top_k, weighted_ranke
 from vekspar.plans.catalog import Catalog
 from vekspar.plans.indexes import Indexing, StoredIndex, enough_rows
 from vekspar.schema import MAX_INDEXED_STRING, MAX_STRING, Index, Space, timestamp
+from vekspar.sources.scratch import written
 from vekspar.sources.store import Store
 from vekspar.streaming.realtime import merged, stream_upserts
 
 LIMIT = 50
 UNTRAINED = 100
+TOP_ROWS = 100_000
 
 
 class Engine:
@@ -42,6 +44,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.catalog = spark, root.rstrip("/"), Catalog(spark, root)
+        spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", TOP_ROWS)  # a larger limit sorts instead of holding a heap of that size in each task
         self._calls: dict[str, list[float]] = {}
         self._models: dict[tuple[str, str], ann.VectorIndex] = {}
 
@@ -255,7 +258,10 @@ class Engine:
         size, page = request.get("page_size"), request.get("page_num")
         if size and page:
             return d.orderBy(*order, "_docid").offset((page - 1) * size).limit(size).select("_id", *fields)
-        return d.orderBy(*order, "_docid").offset(int(request.get("offset") or 0)).limit(self._limit(request)).select("_id", *fields)
+        offset, limit = int(request.get("offset") or 0), self._limit(request)
+        if not offset and limit >= s.manifest["rows"]:  # all that match
+            return (d.orderBy(*order, "_docid") if request.get("sort") else d).select("_id", *fields)
+        return d.orderBy(*order, "_docid").offset(offset).limit(limit).select("_id", *fields)
 
     @staticmethod
     def _sort(space: Space, sort: Any) -> list:
@@ -417,11 +423,10 @@ class Engine:
             raise EngineError(Code.DELETE_INVALID_PARAMS_SHOULD_HAVE_ONE_OF_DOCUMENT_IDS_OR_FILTER, "ids or filters")
         if ids:
             check_ids(ids, Code.DELETE_INVALID_PARAMS_LENGTH_OF_DOCUMENT_IDS_BEYOND_500)
-            gone = s.get(ids).select("_id")
+            gone = self.spark.createDataFrame(s.get(ids).select("_id").collect(), "_id string")  # 499 at most
         else:
-            gone = s.read().where(to_column(filters, s.space)).orderBy("_docid").limit(self._limit(request)).select("_id")
-        rows = gone.collect()  # at most the request's limit
-        gone = self.spark.createDataFrame(rows, "_id string")
+            found, limit = s.read().where(to_column(filters, s.space)), self._limit(request)
+            gone = written((found if limit >= s.manifest["rows"] else found.orderBy("_docid").limit(limit)).select("_id"), "deleted")
         s.delete(gone)
         return gone
 

@@ -36,10 +36,13 @@ def _register(sql: str | None = None, name: str | None = None) -> Callable[[Quer
 
 
 def queries() -> dict[str, Query]:
+    from vekspar import engine_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
