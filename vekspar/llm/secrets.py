@@ -1,8 +1,9 @@
 """Secret scans (operator 8): fixed patterns, and values in credential contexts weighed by password guess cost.
 
-The guess cost of a value is the least sum of log10 guesses over its segmentations into common words, dates, repeats,
-keyboard walks and brute-force spans, found by dynamic programming. A value that would take 10**MIN_COST guesses or
-more is reported as a span of kind guess, beside the base kinds, which stay as they are.
+The guess cost of a value is the least sum of log10 guesses over its segmentations into common words, dates, repeats
+of a unit of up to PERIOD characters, straight keyboard walks and brute-force characters, found by dynamic programming
+over all of them. A value that would take 10**MIN_COST guesses or more is reported as a span of kind guess, beside the
+base kinds, which stay as they are.
 """
 
 from __future__ import annotations
@@ -39,39 +40,77 @@ WORDS = """password admin welcome login letmein monkey dragon master hello freed
 michael football baseball sunshine princess summer winter spring autumn love star test user root guest pass qwerty
 default changeme example sample token key word home work house money happy family secure private system server
 database manager office company internet computer january february march april june july august september october
-november december monday tuesday wednesday thursday friday saturday sunday""".split()
-ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
+november december monday tuesday wednesday thursday friday saturday sunday https:// http:// www. .com .org .net .html""".split()
+ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+SHIFTED = "!@#$%^&*()"
+PERIOD = 8
 
 _RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *COMMON]))}
 _LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("4@301!5$7", "aaeolisst")
-_NEXT = {(a, b) for r in ROWS for a, b in (*zip(r, r[1:], strict=False), *zip(r[1:], r, strict=False))}
+_KEY = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)} | {c: (0, i) for i, c in enumerate(SHIFTED)}
+#: Steps from a key to one beside it: along a row, straight down or up a column, or across.
+_STEPS = {(0, 1), (0, -1), (1, 0), (-1, 0), (1, -1), (-1, 1)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)?\d\d", re.A)
 
 
+def _lower(value: str) -> str:
+    low = value.lower()
+    return low if len(low) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+
+def _step(a: str, b: str) -> tuple[int, int] | None:
+    """The step between two keys side by side."""
+    if a not in _KEY or b not in _KEY:
+        return None
+    step = _KEY[b][0] - _KEY[a][0], _KEY[b][1] - _KEY[a][1]
+    return step if step in _STEPS else None
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation takes; linear in the value's length."""
-    n, low = len(value), value.lower()
+    """log10 of the guesses that the cheapest segmentation takes."""
+    return _cost(value, math.log10(10) if value.isdigit() else math.log10(26 + 26 * (value != _lower(value)) + 10 * any(c.isdigit() for c in value) + 33 * (not value.isalnum())))
+
+
+def _cost(value: str, card: float, units: dict[str, float] | None = None) -> float:
+    """The dynamic program; card: the cost of a character by brute force. About linear in the value's length."""
+    n, low = len(value), _lower(value)
     plain = low.translate(_LEET)
-    card = math.log10(10) if value.isdigit() else math.log10(26 + 26 * (value != low) + 10 * any(c.isdigit() for c in value) + 33 * (not value.isalnum()))
-    same = [1] * (n + 1)
+    units = {} if units is None else units
+    same = {p: [0] * (n + 1) for p in range(1, min(PERIOD, n - 1) + 1)}  # how far value[i:] agrees with value[i + p:]
+    for p, run in same.items():
+        for i in range(n - p - 1, -1, -1):
+            run[i] = run[i + 1] + 1 if value[i] == value[i + p] else 0
+    steps = [_step(low[i], low[i + 1]) for i in range(n - 1)]
     walk = [1] * (n + 1)
     for i in range(n - 2, -1, -1):
-        same[i] = same[i + 1] + 1 if value[i] == value[i + 1] else 1
-        walk[i] = walk[i + 1] + 1 if (low[i], low[i + 1]) in _NEXT else 1
+        if steps[i]:
+            walk[i] = walk[i + 1] + 1 if i + 2 < n and steps[i] == steps[i + 1] else 2
     best = [0.0] + [math.inf] * n
     for i in range(n):
-        to = lambda j, c: best.__setitem__(j, min(best[j], best[i] + c))  # noqa: E731, B023
-        to(i + 1, card)
+        here = best[i]
+        if here + card < best[i + 1]:
+            best[i + 1] = here + card
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             if rank := _RANK.get(low[i:j]) or _RANK.get(plain[i:j]):
-                to(j, math.log10(rank + 10) + 0.5 * (value[i:j] != low[i:j]) + 0.5 * (low[i:j] not in _RANK))
-        if m := _DATE.match(value, i):
-            to(m.end(), 4.6 if m.end() - i > 4 else 2.1)
-        if same[i] >= 3:
-            to(i + same[i], card + math.log10(same[i]))
-        if walk[i] >= 3:
-            to(i + walk[i], 1.6 + math.log10(walk[i]))
+                c = here + math.log10(rank + 10) + 0.5 * (value[i:j] != low[i:j]) + 0.5 * (low[i:j] not in _RANK)
+                if c < best[j]:
+                    best[j] = c
+        for j in range(i + 4, min(n, i + 10) + 1):
+            if value[i].isdigit() and _DATE.fullmatch(value, i, j):
+                best[j] = min(best[j], here + (4.6 if j - i > 4 else 2.1))
+        for p, run in same.items():
+            most = run[i] // p + 1
+            if most >= 2 and p * most >= 3:
+                unit = value[i : i + p]
+                if unit not in units:
+                    units[unit] = _cost(unit, card, units)
+                # what follows a run starts at its end or in its last characters: a run cut earlier costs more than a longer one
+                for k in {*range(2, min(most, 4) + 1), *range(max(2, most - _LONGEST // p), most + 1)}:
+                    if p * k >= 3:
+                        best[i + p * k] = min(best[i + p * k], here + units[unit] + math.log10(k))
+        for k in {*range(3, min(walk[i], 12) + 1)}:
+            best[i + k] = min(best[i + k], here + 1.6 + math.log10(k))
     return best[n]
 
 
@@ -143,7 +182,7 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]")
 
 
 def scan_secrets(documents: DataFrame) -> DataFrame:
-    """doc_id and the spans of each row's whole text, as an array of (kind, start, end). A null text has none."""
+    """doc_id and the spans of each row's whole text, as an array of (kind, start, end). A null text has none; each row gives one, rows that share a doc_id too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
