@@ -40,3 +40,22 @@ def test_copies_just_above_the_similarity_are_found(size, cut):
     assert all(0.8 <= jaccard([*x[cut:], *t[size - cut : size]], x) < 0.84 for x, t in zip(items, texts, strict=True))
     got = decontaminate.Items(list(range(400)), [" ".join(x) for x in items]).matches([" ".join(t) for t in texts])
     assert {(d, i) for d, i, *_ in got} == {(i, i) for i in range(400)}
+
+
+def test_several_blocks_of_items_equal_one(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [fresh(rng, 30) for _ in range(40)]
+    benchmark = spark.createDataFrame([*((i, " ".join(x)) for i, x in enumerate(items)), (3, " ".join(items[3])), (None, " ".join(items[4])), (50, None)], "item_id long, text string")
+    rows = [(d, " ".join([*fresh(rng, 20), *(items[d] if d % 3 else fresh(rng, 30))])) for d in range(40)]
+    rows += [(7, " ".join(items[8])), (7, "clean words"), (None, " ".join(items[9])), (60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def both():
+        leaks = sorted(decontaminate.find_leaks(docs, benchmark).collect(), key=str)
+        return leaks, sorted(decontaminate.drop_leaks(docs, benchmark).collect(), key=str)
+
+    one = both()
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 1500)
+    assert len(list(decontaminate.item_blocks(benchmark))) > 4
+    assert both() == one
+    assert len(one[1]) == 14 + 3 and {r.item_id for r in one[0] if r.doc_id == 7} == {7, 8}

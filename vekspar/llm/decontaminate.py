@@ -8,7 +8,8 @@ exact weighted Jaccard similarity of shingle counts.
 Only windows with enough shingles that some item holds to reach the similarity are fingerprinted; the others cannot.
 
 The benchmark comes to the tasks in blocks of about ITEM_CHARS characters, whatever its size: a larger benchmark takes
-more passes, not more memory.
+more passes, not more memory. Of several blocks, each one's pass is written to the shared folder before the next is
+read, so that the driver holds one at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vekspar.llm.common import chunks
+from vekspar.llm.common import chunks, dropped, made, written
 from vekspar.llm.words import _STEP, WIDTH, mix, shingles, words
 
 SIMILARITY = 0.8
@@ -148,13 +149,13 @@ def _bitmap(values: np.ndarray) -> np.ndarray:
     return seen
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """Multi-indexes over all items, in blocks of about ITEM_CHARS characters."""
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[Items, bool]]:
+    """Multi-indexes over all items, in blocks of about ITEM_CHARS characters, and whether it is one of several."""
     b = benchmark.select("item_id", "text").where("text is not null")
     n = max(1, -(-int(b.agg(F.sum(F.length("text") + 40)).first()[0] or 0) // ITEM_CHARS))
     for i in range(n):
         rows = sorted(b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect(), key=lambda r: (r[0] is None, r[0], r[1]))
-        yield Items([r[0] for r in rows], [r[1] for r in rows])
+        yield Items([r[0] for r in rows], [r[1] for r in rows]), n > 1
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -165,7 +166,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = SIMILA
     kind, item = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item}, similarity double, word_start long, n_words long"
     out = None
-    for items in item_blocks(benchmark):
+    for items, several in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches):
@@ -174,18 +175,23 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: float = SIMILA
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), pa.array(i), pa.array(s), pa.array(p, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "similarity", "word_start", "n_words"])
 
         one = documents.select("doc_id", "text").mapInArrow(run, schema)
+        one = written(one, "leaks") if several else one  # so that the driver holds one block
         out = one if out is None else out.unionAll(one)
     return out
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """documents without the rows that hold an item; all columns stay."""
-    for items in item_blocks(benchmark):
+    rest, last = documents, made()
+    for items, several in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches):
                 bad = {d for d, *_ in items.matches(b.column("text").to_pylist(), least)}
                 yield b.take(pa.array([i for i in range(b.num_rows) if i not in bad], pa.int64())) if bad else b
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+        rest = rest.mapInArrow(run, documents.schema)
+        if several:  # so that the driver holds one block
+            rest = written(rest, "unleaked")
+            dropped(documents.sparkSession, last, rest)
+    return rest
