@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vekspar.llm import decontaminate, forest, jaccard, mixing, passages, pii, quality, secrets, suffixes, warc
+from vekspar.llm import decontaminate, forest, jaccard, mixing, passages, pii, quality, secrets, sql, suffixes, warc
 from vekspar.llm.common import table
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": sql.JACCARD, "op4_vector_forest": sql.VECTORS, "op6_warc_archives": sql.ARCHIVES, "op7_suffix_dedup": sql.REPEATS}
