@@ -106,11 +106,14 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None
     salts = max(1, -(-(sources.agg(F.max("count")).first()[0] or 1) // SALT_ROWS))
     salt = F.pmod("_h", F.lit(salts))
     many = written(d.groupBy("_s", "_h").agg(F.count("*").alias("_n")).where(F.col("_n") > SALT_ROWS).drop("_n"), "equal-rows")
-    if n := many.count():  # rows equal in all columns, over SALT_ROWS of each: any salt will do
+    shape = ["row", "_s", "_h", "_salt"]
+    if n := many.count():  # rows equal in all columns, over SALT_ROWS of each: any salt will do, if a row keeps it
         many = many.withColumn("_many", F.lit(True))
         d = d.join(F.broadcast(many) if n <= 100_000 else many, ["_s", "_h"], "left")
-        salt = F.when(F.col("_many"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(salt)
-    d = d.withColumn("_salt", salt).select("row", "_s", "_h", "_salt")
+        dealt = written(d.where("_many").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).select(shape), "dealt")
+        d = d.where("_many is null").withColumn("_salt", salt).select(shape).unionByName(dealt)
+    else:
+        d = d.withColumn("_salt", salt).select(shape)
     before = d.groupBy("_s", "_salt").count().withColumn("_before", F.sum("count").over(Window.partitionBy("_s").orderBy("_salt")) - F.col("count")).drop("count")
     d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_salt").orderBy("_h")) - 1)
     d = d.join(before, ["_s", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
