@@ -47,6 +47,20 @@ def test_suffixes_over_many_small_tasks_and_shards(spark, monkeypatch):
     assert {r.doc_id: (len(r.text.encode()), sum(x.end - x.start for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in got} == want
 
 
+def test_suffixes_of_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(11)
+    bits = [prose(rng, rng.randrange(3, 40)) for _ in range(40)]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(5, 30)))) for i in range(40)]
+    rows += [(50, "a" * 900), (51, "a" * 1900), (52, rows[3][1]), (53, rows[3][1]), (54, "b" * 301), (55, "b" * 300)]
+    whole = suffixes.runs([rows[3][1].encode()])
+    parts = list(suffixes.long_runs(rows[3][1].encode(), suffixes.LENGTH, 300))
+    assert len(parts) > 1 and all((np.concatenate([x[k] for x in parts]) == whole[k]).all() for k in ("a", "b", "p", "n"))
+    monkeypatch.setattr(suffixes, "PIECE", 300)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 3000)
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (len(r.text.encode()), sum(x.end - x.start for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in got} == brute_bytes(rows)
+
+
 def test_index_family_levels_are_geometric():
     family, rng, all_ = suffixes.IndexFamily(), np.random.default_rng(0), {}
     for batch in range(20):

@@ -100,11 +100,12 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = B
                 yield b.slice(s, e - s)
 
 
-def by_group(df: DataFrame, keys: list[str], fn: Callable[[dict], Iterable[pa.RecordBatch]], schema: str, order: list[str] = ()) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], fn: Callable[[dict], Iterable[pa.RecordBatch]], schema: str, order: list[str] = (), tasks: int = 1) -> DataFrame:
     """fn on each group of rows with equal keys (whole-number columns), as a dict of column name to Arrow array.
 
     Groups come as sorted runs of a partition, so thousands of small groups cost one Python call each and no
-    start-up. A group must fit in memory; callers bound it with block_pairs or a shard count.
+    start-up. A group must fit in memory; callers bound it with block_pairs or a shard count. tasks: how many there
+    are at least, if more than spark.sql.shuffle.partitions.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,8 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[dict], Iterable[pa.Re
         if held:
             yield from fn(_columns(held))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    more = (tasks,) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    return df.repartition(*more, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _columns(held: list[pa.Table]) -> dict:

@@ -21,6 +21,7 @@ FAN = 1024
 SCHEMA = "shard long, dest long, kind int, data binary"
 NAMES = ["shard", "dest", "kind", "data"]
 SPLIT_ROWS = 4_000_000
+MOST_TASKS = 16_384
 Layout = list[tuple[str, str]]
 
 
@@ -114,8 +115,8 @@ def regroup(df: DataFrame, layout: Layout, key: str, shards: int, kind: int = 0)
     return df
 
 
-def by_shard(df: DataFrame, fn: Callable[[int, dict[int, list[bytes]]], Iterable[pa.RecordBatch]], schema: str = SCHEMA) -> DataFrame:
-    """fn(shard, rows' data by kind) on each shard."""
+def by_shard(df: DataFrame, fn: Callable[[int, dict[int, list[bytes]]], Iterable[pa.RecordBatch]], schema: str = SCHEMA, shards: int = 1) -> DataFrame:
+    """fn(shard, rows' data by kind) on each shard. shards: how many there are, so that a task's share does not grow with the input."""
 
     def run(g: dict) -> Iterable[pa.RecordBatch]:
         rows: dict[int, list[bytes]] = {}
@@ -123,4 +124,4 @@ def by_shard(df: DataFrame, fn: Callable[[int, dict[int, list[bytes]]], Iterable
             rows.setdefault(k, []).append(data)
         return fn(g["shard"][0].as_py(), rows)
 
-    return by_group(df, ["shard"], run, schema)
+    return by_group(df, ["shard"], run, schema, tasks=min(shards, MOST_TASKS))

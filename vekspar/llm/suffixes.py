@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from hashlib import md5, sha256
+from itertools import batched
 from zlib import crc32
 
 import numpy as np
@@ -33,7 +34,10 @@ LENGTH = 50
 GRAM = 20
 SHARD_BYTES = 16_000_000
 FLUSH_BYTES = 40_000_000
+STRINGS = 1_500_000
 BATCH = 1 << 18
+#: A text of more bytes is read in pieces of so many, so what a task needs beyond the text itself does not grow with it.
+PIECE = 4_000_000
 #: A document is told by its id and tx, a checksum of its text, as rows may share an id and differ in text.
 RUN: packed.Layout = [("a", "u8"), ("b", "u8"), ("doc", "id"), ("tx", "id"), ("p", "u4"), ("n", "u1")]
 MARK: packed.Layout = [("doc", "id"), ("tx", "id"), ("p", "u4"), ("n", "u4")]
@@ -56,8 +60,8 @@ def _span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _inverse_powers[start])
 
 
-def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
-    """All runs of texts: text number (doc), first position p, positions n, anchor's and run's fingerprints a and b."""
+def runs(texts: list[bytes], length: int = LENGTH, start: int = 0) -> dict[str, np.ndarray]:
+    """All runs of texts: text number (doc), first position p, positions n, anchor's and run's fingerprints a and b. start: where in a longer text the first one begins."""
     gram = min(GRAM, length)
     buf = np.frombuffer(b"".join(texts), np.uint8)
     end = np.cumsum([len(t) for t in texts])
@@ -66,7 +70,7 @@ def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
         return empty
     sums = _fingerprints(buf)
     at = np.arange(len(buf) - gram + 1)
-    h = (_span(sums, at, at + gram) & ~np.uint64(0xFFFFF)) | (at.astype(np.uint64) & np.uint64(0xFFFFF))
+    h = (_span(sums, at, at + gram) & ~np.uint64(0xFFFFF)) | ((at + start).astype(np.uint64) & np.uint64(0xFFFFF))
     width = length - gram + 1
     size = -(-len(h) // width) * width
     x = np.full(size, 2**64 - 1, np.uint64)
@@ -77,7 +81,7 @@ def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
     m = len(h) - width + 1
     low = (np.minimum(after[:m], before[width - 1 : width - 1 + m]) & np.uint64(0xFFFFF)).astype(np.int64)
     pos = at[:m]
-    anchor = pos + ((low - pos) & 0xFFFFF)
+    anchor = pos + ((low - pos - start) & 0xFFFFF)
     inside = np.ones(m, bool)
     for e in end[:-1].tolist():
         inside[max(0, e - length + 1) : e] = False  # strings that would cross the end of a text
@@ -91,6 +95,17 @@ def runs(texts: list[bytes], length: int = LENGTH) -> dict[str, np.ndarray]:
     return {"a": _span(sums, c, c + gram), "b": _span(sums, p, p + n + length - 1) ^ mix((c - p + n * 1000).astype(np.uint64)), "doc": doc, "p": p - np.r_[0, end][doc], "n": n}
 
 
+def long_runs(text: bytes, length: int, piece: int) -> Iterator[dict[str, np.ndarray]]:
+    """The runs of a long text, those that start in each piece of it in turn; pieces overlap by more than a run."""
+    width = length - min(GRAM, length) + 1  # positions of the longest run
+    for s in range(0, max(0, len(text) - length + 1), piece):
+        low = max(0, s - width)
+        e = runs([text[low : s + piece + width + length]], length, low)
+        e["p"] = e["p"] + low
+        mine = (e["p"] >= s) & (e["p"] < s + piece)
+        yield {k: v[mine] for k, v in e.items()}
+
+
 def strings(text: bytes, p: np.ndarray, n: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Positions p of all strings of runs, with two fingerprints."""
     at = np.repeat(p - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -203,7 +218,14 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shards = max(1, -(-total // SHARD_BYTES))
-    wide = packed.first_width(shards)
+    wide, piece = packed.first_width(shards), PIECE
+
+    def sent(e: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Entries of a task: marks of those that it settles, the others dealt to their shards."""
+        done = _settle(e)
+        yield from _dedup({k: e[k][done] for k in ("doc", "tx", "p", "n")}, shards, MARKS, wide)
+        e = {k: v[~done] for k, v in e.items()}
+        yield from packed.deal(RUN, e, packed.shard_of(e["a"], shards), ENTRIES, wide)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -217,20 +239,25 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             for i, d in least.values():
                 ids[i] = d
             e = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            held.clear()
             e["tx"], e["doc"] = np.array(txs, np.int64)[e["doc"]], ids[e["doc"]]
-            done = _settle(e)
             whole = [(d, t, 0, n - length + 1) for k, d, t, n in copies if d != least[k][1] and n >= length]
             cols = [np.array(x, np.int64) for x in zip(*whole, strict=True)] if whole else [np.zeros(0, np.int64)] * 4
-            yield from _dedup({k: np.r_[e[k][done].astype(np.int64), c] for k, c in zip(("doc", "tx", "p", "n"), cols, strict=True)}, shards, MARKS, wide)
-            e = {k: v[~done] for k, v in e.items()}
-            yield from packed.deal(RUN, e, packed.shard_of(e["a"], shards), ENTRIES, wide)
+            yield from _dedup(dict(zip(("doc", "tx", "p", "n"), cols, strict=True)), shards, MARKS, wide)
+            yield from sent(e)
 
         for b in chunks(batches):
             new = []
             start = len(txs)
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                key = md5(t, usedforsecurity=False).digest()
                 tx = crc32(t)
+                if len(t) > piece:
+                    for some in batched(long_runs(t, length, piece), 8):
+                        e = {k: np.concatenate([h[k] for h in some]) for k in some[0]}
+                        e["doc"], e["tx"] = np.full(len(e["p"]), d), np.full(len(e["p"]), tx)
+                        yield from sent(e)
+                    continue
+                key = md5(t, usedforsecurity=False).digest()
                 copies.append((key, d, tx, len(t)))
                 if key in least:
                     least[key] = (least[key][0], min(least[key][1], d))
@@ -279,7 +306,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     shape = "doc_id long, tx long, kind int, marks binary"
     dealt = packed.regroup(docs.mapInArrow(index, packed.SCHEMA), RUN, "a", shards, ENTRIES)
-    found = written(packed.by_shard(packed.by_shard(dealt, settle), per_document, shape), "runs")
+    found = written(packed.by_shard(packed.by_shard(dealt, settle, shards=shards), per_document, shape, shards), "runs")
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -287,28 +314,33 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             e = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            done = _settle(e)
-            yield from _dedup({k: v[done] for k, v in e.items()}, shards, MARKS, wide)
-            e = {k: v[~done] for k, v in e.items()}
-            yield from packed.deal(RUN, e, packed.shard_of(e["a"], shards), ENTRIES, wide)
+            held.clear()
+            yield from sent(e)
 
         for b in chunks(batches):
             for d, tx, asked, t in zip(b.column("doc_id").to_pylist(), b.column("tx").to_pylist(), b.column("marks").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if crc32(t) == tx:
-                    pairs = np.frombuffer(asked, np.uint32).reshape(-1, 2).astype(np.int64)
-                    e = strings(t, pairs[:, 0], pairs[:, 1], length)
+                if crc32(t) != tx:
+                    continue
+                pairs = np.frombuffer(asked, np.uint32).reshape(-1, 2).astype(np.int64)
+                for s in range(0, len(t), piece):
+                    p, end = np.maximum(pairs[:, 0], s), np.minimum(pairs.sum(axis=1), s + piece)
+                    some = p < end
+                    if not some.any():
+                        continue
+                    e = strings(t[s : s + piece + length], p[some] - s, (end - p)[some], length)
+                    e["p"] = e["p"] + s
                     e["doc"], e["tx"] = np.full(len(e["p"]), d), np.full(len(e["p"]), tx)
                     held.append(e)
                     count += len(e["p"])
-            if count >= 1_500_000:
-                yield from flush()
-                held, count = [], 0
+                    if count >= STRINGS:
+                        yield from flush()
+                        count = 0
         if held:
             yield from flush()
 
     asked = found.where(f"kind = {ASKED}").drop("kind").join(docs, "doc_id").select("doc_id", "tx", "marks", "text")
     dealt = packed.regroup(asked.mapInArrow(take_apart, packed.SCHEMA), RUN, "a", shards, ENTRIES)
-    more = written(packed.by_shard(packed.by_shard(dealt, settle_strings), per_document, shape), "strings")  # frees the shuffled strings before the texts are joined
+    more = written(packed.by_shard(packed.by_shard(dealt, settle_strings, shards=shards), per_document, shape, shards), "strings")  # frees the shuffled strings before the texts are joined
     marks = found.where(f"kind = {MARKS}").unionAll(more)
     return marks.groupBy("doc_id", "tx").agg(F.collect_list("marks").alias("marks"))  # one list from each family at most
 
