@@ -256,3 +256,31 @@ def test_vectors_at_production_parameters(spark):
     met = sum(got[12_000 + i][0].n_links >= 1 and got[12_000 + i][0].component_id == (3 if i == 7 else i) for i in range(6000))
     assert met >= 0.995 * 6000
     assert len(got[3]) == 2 and {r.component_id for r in got[3] + got[7]} == {3} and sum(len(v) for v in got.values()) == len(rows)
+
+
+def test_vectors_in_parts_and_blocks(spark, monkeypatch):
+    """Links as by brute force where a label is cut into parts and a large group of near copies into blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    x[1500:1900] = x[:400] + 0.1 * rng.standard_normal((400, 64))
+    x[2500:] = x[2500] + 0.08 * rng.standard_normal((500, 64))
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= forest.COSINE
+    np.fill_diagonal(near, False)
+    for k, v in (("SPLIT", 300), ("BLOCK", 200), ("LEAF", 32)):
+        monkeypatch.setattr(forest, k, v)
+    got = {r.vec_id: r for r in forest.near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    want = near.sum(axis=1)
+    n = np.array([got[i].n_links for i in range(3000)])
+    assert (n <= want).all() and n.sum() >= 0.999 * want.sum() and want[2500:].min() >= 400
+    assert all(got[i].component_id == 2500 for i in range(2500, 3000))
+
+
+def test_vectors_travel_to_few_parts(spark, monkeypatch):
+    """A vector is sent for each part, not for each leaf of each tree."""
+    x, sent, grouped = np.random.default_rng(9).standard_normal((4000, 64)), [], forest.by_group
+    monkeypatch.setattr(forest, "SPLIT", 1000)
+    monkeypatch.setattr(forest, "by_group", lambda df, keys, *a, **b: (sent.append(df.count()) if "bi" in keys else None, grouped(df, keys, *a, **b))[1])
+    assert forest.near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).count() == 4000
+    assert 4000 < sum(sent) <= 4 * 4000
