@@ -5,10 +5,10 @@ import math
 import random
 
 import numpy as np
-
+import pyarrow as pa
 from llm_helpers import prose, shingle_list
 
-from vekspar.llm import common, forest, jaccard, passages, suffixes
+from vekspar.llm import common, forest, jaccard, packed, passages, suffixes
 
 
 def brute_bytes(rows, n=50):
@@ -37,6 +37,23 @@ def test_suffixes_equal_brute_force(spark, corpus, documents, monkeypatch):
     assert seen == set(want)
 
 
+def test_entries_stay_small_where_each_has_a_document_of_its_own():
+    """With many shards a row's entries are nearly all of unlike documents; their ids and checksums must not outweigh them."""
+    rng = np.random.default_rng(2)
+    doc = rng.permutation(20_000)[:3000]
+    e = {"doc": doc, "tx": rng.integers(0, 2**32, 20_000)[doc], "p": rng.integers(0, 9000, 3000), "n": rng.integers(1, 32, 3000)}
+    e |= {k: rng.integers(0, 2**63, 3000).astype(np.uint64) for k in "ab"}
+    data = packed.pack(suffixes.RUN, e)
+    got, order = packed.unpack(suffixes.RUN, [data]), np.argsort(doc)
+    assert len(pa.compress(data, codec="lz4", asbytes=True)) <= 28 * 3000
+    got_order = np.argsort(got["doc"])
+    assert all((got[k][got_order] == e[k][order]).all() for k in e)
+    again = e | {"doc": e["doc"] // 7}  # ids shared by texts
+    got = packed.unpack(suffixes.RUN, [packed.pack(suffixes.RUN, again, np.arange(100)), packed.pack(suffixes.RUN, again, np.arange(100, 3000))])
+    rows = [sorted(zip(*(x[k].tolist() for k in ("doc", "tx", "p", "n", "a", "b")), strict=True)) for x in (again, got)]
+    assert rows[0] == rows[1]
+
+
 def test_suffixes_over_many_small_tasks_and_shards(spark, monkeypatch):
     rng = random.Random(9)
     bits = [prose(rng, rng.randrange(3, 14)) for _ in range(30)]

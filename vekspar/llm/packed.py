@@ -25,22 +25,52 @@ MOST_TASKS = 16_384
 Layout = list[tuple[str, str]]
 
 
+def _planes(x: np.ndarray, kind: str) -> list[bytes]:
+    """The first bytes of all numbers, then the second ones and so on: the bytes that are zero in all compress to next to nothing."""
+    x = x.astype(kind)
+    return [x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()]
+
+
+def _whole(data: bytes, kind: str, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(-1), at + n * size
+
+
 def pack(layout: Layout, cols: dict[str, np.ndarray], rows: np.ndarray | slice = slice(None)) -> bytes:
-    """Columns one after the other; a column of type id is a table of its values and an index into it."""
-    out = []
+    """Columns one after the other, of types as follows; others are as numpy has them.
+
+    id: a table of its values and an index into it. doc, which comes first if at all: rows are brought in its order;
+    the steps from value to value, and how many rows each has. of: unsigned numbers of 32 bits, once for each value of
+    doc where its rows all have the same. p4: the same in planes of bytes.
+    """
+    out, n = [], None
     for name, kind in layout:
         x = cols[name][rows]
         if kind == "id":
             seen, at = np.unique(x.astype(np.int64), return_inverse=True)
             narrow = np.uint16 if len(seen) <= 1 << 16 else np.uint32
             out += [np.array([len(x), len(seen)], np.int64).tobytes(), seen.tobytes(), at.astype(narrow).tobytes()]
+        elif kind == "doc":
+            x = x.astype(np.int64)
+            if (x[1:] < x[:-1]).any():
+                order = np.argsort(x, kind="stable")
+                x, rows = x[order], np.arange(len(cols[name]))[rows][order]
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[first, len(x)])
+            out += [np.array([len(x), len(first)], np.int64).tobytes(), *_planes(np.diff(x[first], prepend=0), "i8"), *_planes(n, "u4")]
+        elif kind == "of":
+            short = x[first]
+            short = short if (np.repeat(short, n) == x).all() else x
+            out += [np.array([len(x), len(short)], np.int64).tobytes(), *_planes(short, "u4")]
+        elif kind == "p4":
+            out += [np.array([len(x), -1], np.int64).tobytes(), *_planes(x, "u4")]
         else:
             out += [np.array([len(x), -1], np.int64).tobytes(), x.astype(kind).tobytes()]
     return b"".join(out)
 
 
 def unpack(layout: Layout, blobs: Iterable[bytes]) -> dict[str, np.ndarray]:
-    parts: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64 if k == "id" else k)] for n, k in layout}
+    parts: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.int64 if k in ("id", "doc", "of") else "u4" if k == "p4" else k)] for n, k in layout}
     for data in blobs:
         at = 0
         for name, kind in layout:
@@ -52,6 +82,16 @@ def unpack(layout: Layout, blobs: Iterable[bytes]) -> dict[str, np.ndarray]:
                 narrow = np.uint16 if seen <= 1 << 16 else np.uint32
                 parts[name].append(values[np.frombuffer(data, narrow, n, at)])
                 at += n * np.dtype(narrow).itemsize
+            elif kind == "doc":
+                steps, at = _whole(data, "i8", seen, at)
+                each, at = _whole(data, "u4", seen, at)
+                parts[name].append(np.repeat(np.cumsum(steps), each))
+            elif kind == "of":
+                x, at = _whole(data, "u4", seen, at)
+                parts[name].append((x if seen == n else np.repeat(x, each)).astype(np.int64))
+            elif kind == "p4":
+                x, at = _whole(data, "u4", n, at)
+                parts[name].append(x)
             else:
                 parts[name].append(np.frombuffer(data, kind, n, at))
                 at += n * np.dtype(kind).itemsize

@@ -39,8 +39,8 @@ BATCH = 1 << 18
 #: A text of more bytes is read in pieces of so many, so what a task needs beyond the text itself does not grow with it.
 PIECE = 4_000_000
 #: A document is told by its id and tx, a checksum of its text, as rows may share an id and differ in text.
-RUN: packed.Layout = [("a", "u8"), ("b", "u8"), ("doc", "id"), ("tx", "id"), ("p", "u4"), ("n", "u1")]
-MARK: packed.Layout = [("doc", "id"), ("tx", "id"), ("p", "u4"), ("n", "u4")]
+RUN: packed.Layout = [("doc", "doc"), ("tx", "of"), ("p", "p4"), ("n", "u1"), ("a", "u8"), ("b", "u8")]
+MARK: packed.Layout = [("doc", "doc"), ("tx", "of"), ("p", "p4"), ("n", "p4")]
 ENTRIES, MARKS, ASKED = 0, 1, 2
 _INVERSE = np.uint64(pow(_BASE, -1, 2**64))
 
@@ -210,11 +210,13 @@ def _dedup(marks: dict[str, np.ndarray], shards: int, kind: int, width: int) ->
     yield from packed.deal(MARK, {"doc": d[first], "tx": t[first], "p": p[first], "n": n}, packed.shard_of(d[first], shards), kind, width)
 
 
-def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_bytes(documents: DataFrame, length: int = LENGTH, shared: bool = True) -> DataFrame:
     """(doc_id, tx, marks): for each text with any, the positions at which strings of `length` bytes start that also start in a text with a smaller doc_id.
 
-    marks: packed pairs (position, count). doc_id must not be null; tx is crc32 of the text.
+    marks: packed pairs (position, count). doc_id must not be null; tx is crc32 of the text, or 0 where shared says that
+    no two rows have one doc_id, which saves a sixth of what is shuffled.
     """
+    sum_of = crc32 if shared else lambda text: 0
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shards = max(1, -(-total // SHARD_BYTES))
@@ -250,7 +252,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             new = []
             start = len(txs)
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                tx = crc32(t)
+                tx = sum_of(t)
                 if len(t) > piece:
                     for some in batched(long_runs(t, length, piece), 8):
                         e = {k: np.concatenate([h[k] for h in some]) for k in some[0]}
@@ -319,7 +321,7 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for b in chunks(batches):
             for d, tx, asked, t in zip(b.column("doc_id").to_pylist(), b.column("tx").to_pylist(), b.column("marks").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if crc32(t) != tx:
+                if sum_of(t) != tx:
                     continue
                 pairs = np.frombuffer(asked, np.uint32).reshape(-1, 2).astype(np.int64)
                 for s in range(0, len(t), piece):
@@ -366,8 +368,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     plain = documents.drop("removed", "kept")
     names, found = plain.columns, unused(plain, "_marks")
-    marks = repeated_bytes(documents, length).select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"), F.col("marks").alias(found))
-    rows = carried(plain, _id=F.col("doc_id").cast("long"), _tx=F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    shared = bool(documents.where("doc_id is not null").groupBy(F.col("doc_id").cast("long")).count().where("count > 1").limit(1).count())
+    marks = repeated_bytes(documents, length, shared).select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx"), F.col("marks").alias(found))
+    rows = carried(plain, _id=F.col("doc_id").cast("long"), _tx=F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if shared else F.lit(0).cast("long"))
     rows = rows.join(marks, ["_id", "_tx"], "left").select("row.*", found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
