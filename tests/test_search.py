@@ -133,3 +133,22 @@ def test_registered_and_described_indexes(data):
         assert type(ann.make("MINE", "v", 16)) is Mine
     finally:
         del ann.KINDS["MINE"]
+
+
+@pytest.mark.parametrize(("kind", "params"), [("IVFPQ", {"nsubvector": 4}), ("IVFPQ", {"nsubvector": 4, "opq": True}), ("IVFRABITQ", {"nb_bits": 2}), ("IVFRABITQ", {"nb_bits": 9})])
+@pytest.mark.parametrize("metric", ["L2", "InnerProduct", "Cosine"])
+def test_whole_reranking_is_exact(spark, kind, params, metric):
+    """More near copies than recall_num have equal codes."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([X, X[0] + 1e-4 * rng.standard_normal((300, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "_id long, _docid long, v array<float>").repartition(5)
+    model = ann.make(kind, "v", 16, metric, ncentroids=6, **params).fit(df)
+    got = model.search(model.assign(df), Q.tolist(), 9, nprobe=6, recall_num=20, whole=True)
+    key = lambda d: sorted((r.qid, r._rank, r._id, r._score) for r in d.collect())
+    assert key(got) == key(search.top_k(df, "v", Q, 9, metric))
+
+
+def test_scores_are_not_rounded_twice(spark):
+    """To nine decimals, 1.11561700050 is what 1.115617000496 would become by way of twelve digits."""
+    df = spark.createDataFrame([(1, [1.115617000496])], "_id long, v array<double>")
+    assert search.top_k(df, "v", [[1.0]], 1).select(F.round("_score", 9)).first()[0] == 1.115617

@@ -57,7 +57,7 @@ def hamming(a: Column, b: Column) -> Column:
 COLUMNS: dict[str, Callable[[Column, Column], Column]] = {"InnerProduct": inner_product, "L2": squared_l2, "Cosine": cosine, "Hamming": hamming}
 
 
-def significant(v: np.ndarray, digits: int = 12) -> np.ndarray:
+def significant(v: np.ndarray, digits: int = 15) -> np.ndarray:
     """v rounded to so many significant digits, at any magnitude, so that equal vectors tie on any plan."""
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         place = np.floor(np.log10(np.abs(v)))
@@ -92,6 +92,18 @@ def rough(metric: str, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.nda
     return s, eps * (xx + qq) ** 2 + 1e-11 * np.abs(s)
 
 
+def moved(metric: str, x: np.ndarray, near: np.ndarray, q: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """How far the scores of rows of x against q may be from s, those of rows near them."""
+    x, q = x.astype(np.float64), q.astype(np.float64)
+    away = np.sqrt(((x - near) ** 2).sum(1))[:, None]
+    if metric == "L2":
+        return away * (2 * np.sqrt(np.maximum(s, 0)) + away)
+    if metric == "Cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(np.isfinite(s), 2 * away / np.sqrt((x * x).sum(1))[:, None], np.inf)
+    return away * np.sqrt((q * q).sum(1))[None]
+
+
 def exact(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Scores of rows of x against the vector q in double precision, L2 by differences, whatever the vectors' scale; a zero vector's cosine is NaN."""
     if metric == "Hamming":

@@ -2,7 +2,8 @@
 
 Each index maps to columns of the table: `list_id` (write the table partitioned by it, and probes become partition
 pruning) and for compressed kinds `code`. Search scores the rows of the probed lists, on codes where there are any, and
-re-ranks the best `recall_num` with the raw vectors. With nprobe = ncentroids an IVFFLAT search equals the exact one.
+re-ranks the best `recall_num` with the raw vectors. With nprobe = ncentroids an IVFFLAT search equals the exact one, and
+so does one on codes that is asked to be whole, at any number of rows.
 
 HNSW and DISKANN_STATIC are graphs over shards of a list, walked in the task that reads the shard, and merged exactly;
 GPU names are aliases of the CPU kinds. SCANN is not built.
@@ -181,9 +182,13 @@ class IvfFlat(VectorIndex):
 class _Coded(IvfFlat):
     """Lists of codes: scored by `_scores`, then re-ranked on raw vectors."""
 
-    def search(self, indexed, queries, k, nprobe=None, recall_num: int | None = None, where=None, min_score=None, max_score=None, **_):
+    def search(self, indexed, queries, k, nprobe=None, recall_num: int | None = None, where=None, min_score=None, max_score=None, whole: bool = False, **_):
+        """whole: re-ranks, whatever recall_num, all rows of the probed lists that their codes do not rule out by a bound, so the result is that of IVFFLAT over these lists."""
         q = np.asarray(queries, np.float64)
         probes = self.probes(q, nprobe)
+        if whole:
+            table, decoded = self._tables(q[:0]), self._decoded
+            return top_k(indexed, self.vector, q, k, self.metric, self.id_col, min_score, max_score, where, ("list_id", probes), ("code", lambda codes, lists: decoded(table, codes, lists)))
         n = max(k, recall_num or int(self.params.get("recall_num") or 0))
         up, id_col, kind = HIGHER[self.metric], self.id_col, dict(indexed.dtypes)[self.id_col]
         data = indexed if where is None else indexed.where(where)
@@ -283,6 +288,12 @@ class IvfPq(_Coded):
         return adc[where[:, None], part[None], codes].sum(1)
 
 
+    @staticmethod
+    def _decoded(table, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        _, c, books, _, turn = table
+        return c[lists] + books[np.arange(len(books)), codes].reshape(len(codes), -1) @ turn.T
+
+
 class IvfRabitq(_Coded):
     """RaBitQ: residuals on the unit sphere, randomly rotated, each component on a grid of 2**nb_bits levels.
 
@@ -349,6 +360,16 @@ class IvfRabitq(_Coded):
         return head[:, 0] ** 2 + (away * away).sum(1)[where] - 2 * dot
 
 
+    @staticmethod
+    def _decoded(table, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """The nearest point to each row in the direction of its grid point."""
+        _, rot, origin, bits, _, _ = table
+        head = np.ascontiguousarray(codes[:, :8]).view(np.float32).astype(np.float64)
+        level = np.ascontiguousarray(codes[:, 8:])
+        g = (level.view("<u2") if bits > 8 else level).astype(np.float64) - ((1 << bits) - 1) / 2
+        return origin[lists] + g * (head[:, 0] * head[:, 1] / (g * g).sum(1))[:, None] @ rot.T
+
+
 class BinaryIvf(VectorIndex):
     """Hamming lists of packed bits (binary columns of dimension / 8 bytes); centres are bit majorities."""
 

@@ -5,13 +5,13 @@ batch is scored roughly by matrix products of at most CELLS scores, with a bound
 the k best are scored exactly. A task keeps k rows for each query, and only those are shuffled, by query. So the shuffle
 is tasks x queries x k rows whatever the table holds. Filters stay below the kernel, at the Parquet scan.
 
-Scores are in double precision at any scale of the vectors, to twelve significant digits, with ties by id, so results
-don't depend on the plan. L2 is squared. Rows without a vector, or with one of another length, are never found.
+Scores are in double precision at any scale of the vectors, to fifteen significant digits, with ties by id, so results
+don't depend on the plan; fewer digits would be rounded twice where a query shows nine decimals. L2 is squared. Rows without a vector, or with one of another length, are never found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vekspar.errors import param
-from vekspar.functions.distance import COLUMNS, HIGHER, exact, rough
+from vekspar.functions.distance import COLUMNS, HIGHER, exact, moved, rough
 from vekspar.sources.scratch import written
 
 QUERY_BYTES = 16_000_000
@@ -53,10 +53,13 @@ def matrix(column: pa.Array, dim: int, metric: str) -> tuple[np.ndarray, np.ndar
 def top_k(
     data: DataFrame, vector: str, queries: Sequence[Sequence[float]] | np.ndarray, k: int, metric: str = "InnerProduct", id_col: str = "_id",
     min_score: float | None = None, max_score: float | None = None, where: Column | None = None, lists: tuple[str, Sequence[Sequence[int]]] | None = None,
+    codes: tuple[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] | None = None,
 ) -> DataFrame:
     """qid, id_col, _score and _rank of the k best rows for each query, bounds (both inclusive) applied before the cut.
 
     lists: a whole-number column and, for each query, its values that may be searched (an inverted-list index).
+    codes: with lists, a column of codes and the vectors that (codes, lists) stand for; rows are left out by the scores
+    of these and a bound of what their distance to the rows' own vectors can change, the others are scored exactly.
     """
     if metric not in HIGHER:
         raise param(f"metric {metric!r}")
@@ -70,7 +73,7 @@ def top_k(
     d = data if where is None else data.where(where)
     low, high, up = -np.inf if min_score is None else min_score, np.inf if max_score is None else max_score, HIGHER[metric]
     kind = dict(data.dtypes)[id_col]
-    cols = [id_col, vector, *([lists[0]] if lists else [])]
+    cols = [id_col, vector, *([lists[0]] if lists else []), *([codes[0]] if codes else [])]
     out = None
     for first, block in query_blocks(q):
         probes = [np.array(sorted(x)) for x in lists[1][first : first + len(block)]] if lists else None
@@ -89,10 +92,13 @@ def top_k(
                     best = [(np.zeros(0), ids.slice(0, 0)) for _ in block]
                 rows, x = matrix(b.column(names.index(vector)), block.shape[1], metric)
                 own = b.column(names.index(lists[0])).take(pa.array(rows)).to_numpy(zero_copy_only=False) if lists else None
+                near = codes[1](np.frombuffer(b"".join(b.column(names.index(codes[0])).take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1), own) if codes and len(rows) else None
                 step = max(1, CELLS // len(block))
                 for r in range(0, len(rows), step):
                     part = x[r : r + step]
-                    s, error = rough(metric, part, block)
+                    s, error = rough(metric, part if near is None else near[r : r + step], block)
+                    if near is not None:
+                        error = error + moved(metric, part, near[r : r + step], block, s)
                     may = (s + error >= low) & (s - error <= high) & (sign * s - error <= worst)
                     for i in np.flatnonzero(may.any(0)):
                         at = np.flatnonzero(may[:, i])
