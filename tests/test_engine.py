@@ -280,3 +280,15 @@ def test_backup_versions(engine, tmp_path):
     with pytest.raises(EngineError):
         engine.restore("db", "two", at, 1)
     assert engine.stats("db", "one").first().doc_num == N
+
+
+def test_data_frames_are_normalized(spark, engine):
+    """As documents are, in the tasks, with the driver holding none."""
+    engine.create_space("db", {"name": "unit", "fields": [{"name": "v", "type": "vector", "dimension": D, "format": "normalization"}]})
+    rows = spark.createDataFrame([(str(i), (3 * x).tolist()) for i, x in enumerate(X)], "_id string, v array<double>")
+    engine.upsert("db", "unit", rows)
+    got = {r._id: np.array(r.v) for r in engine.store("db", "unit").read().collect()}
+    assert all(np.allclose(got[str(i)], x / np.linalg.norm(x), atol=1e-6) for i, x in enumerate(X)) and len(got) == N
+    engine.create_space("db", {"name": "unit2", "fields": [{"name": "v", "type": "vector", "dimension": D, "format": "normalization"}]})
+    engine.upsert("db", "unit2", [{"_id": str(i), "v": (3 * x).tolist()} for i, x in enumerate(X)])
+    assert all(np.allclose(got[r._id], r.v, atol=1e-7) for r in engine.store("db", "unit2").read().collect())

@@ -36,7 +36,7 @@ def normalized(a: Column) -> Column:
     """The vector over its norm; an error for a zero or non-finite norm, as for the same vector in a request."""
     n = norm(a)
     ok = (n > 0) & (n < float("inf"))
-    return F.when(ok | a.isNull(), F.transform(_double(a), lambda x: x / n)).otherwise(F.raise_error(F.lit("a zero or non-finite vector cannot be normalized")))
+    return F.when(ok | a.isNull(), F.zip_with(_double(a), F.array_repeat(n, F.size(a)), lambda x, y: x / y)).otherwise(F.raise_error(F.lit("a zero or non-finite vector cannot be normalized")))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vekspar.errors import Code, EngineError, param
-from vekspar.functions.distance import HIGHER
+from vekspar.functions.distance import HIGHER, normalized
 from vekspar.operators import ann
 from vekspar.operators.documents import by_ids, check_ids, scroll
 from vekspar.operators.filters import to_column
@@ -200,7 +200,8 @@ class Engine:
         """Inserts or partly updates; returns _id, code, msg of each document. A new one must have all vectors; else it fails alone."""
         s = self.store(db, name)
         if isinstance(docs, DataFrame):
-            batch, pos = docs, position
+            unit = {f.name: normalized(F.col(f.name)).cast(s.schema[f.name].dataType) for f in s.space.fields.values() if f.format == "normalization" and f.name in docs.columns and not s.space.is_binary(f.name)}
+            batch, pos = docs.withColumns(unit) if unit else docs, position
         elif not docs:
             raise EngineError(Code.UPSERT_INVALID_PARAMS, "no documents")
         else:
