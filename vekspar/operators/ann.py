@@ -402,11 +402,15 @@ def graph(x: np.ndarray, links: int, candidates: int, alpha: float = 1.2, seed:
     if n < 2:
         return out
     xx = (x * x).sum(1)
-    d = np.maximum(xx[:, None] + xx[None] - 2 * x @ x.T, 0)
-    np.fill_diagonal(d, np.inf)
-    c = min(candidates, n - 1)
-    near = np.argpartition(d, c - 1, axis=1)[:, :c]
-    near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+    widest = max(4 * xx.max(), 1e-300)
+    d, c = np.empty((n, n), np.float32), min(candidates, n - 1)  # as shares of the widest, half of a double's bytes
+    near = np.empty((n, c), np.int32)
+    for s in range(0, n, 256):
+        part = np.maximum(xx[s : s + 256, None] + xx[None] - 2 * x[s : s + 256] @ x.T, 0) / widest
+        part[np.arange(len(part)), np.arange(s, s + len(part))] = np.inf
+        own = np.argpartition(part, c - 1, axis=1)[:, :c]
+        near[s : s + 256] = np.take_along_axis(own, np.argsort(np.take_along_axis(part, own, 1), axis=1, kind="stable"), 1)
+        d[s : s + 256] = part
     own, rng = [], np.random.default_rng(seed)
     for i in range(n):
         left, kept = near[i], []
