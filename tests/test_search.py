@@ -177,3 +177,8 @@ def test_graph_holds_one_matrix_of_floats():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert links.shape == (2048, 32) and peak < 60e6
+
+
+def test_tiles_of_scores_are_small():
+    """A task holds several arrays of a tile's scores; with 8 MB each, 4 tasks of an executor stay below 400 MB."""
+    assert search.CELLS * 8 * 12 * 4 <= 400e6

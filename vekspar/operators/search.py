@@ -24,7 +24,9 @@ from vekspar.functions.distance import HIGHER, exact, moved, rough
 from vekspar.sources.scratch import written
 
 QUERY_BYTES = 16_000_000
-CELLS = 4_000_000
+CELLS = 1_000_000
+#: Rows of a batch that a task returns.
+ROWS = 100_000
 
 
 def query_blocks(queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -123,9 +125,10 @@ def top_k(
                         best[i] = (val, who)
                         if len(val) >= k:
                             worst[i] = (sign * val).max()
-            for i, (val, who) in enumerate(best):
-                if len(val):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(val), first + i), pa.int64()), who, pa.array(val)], ["qid", id_col, "_score"])
+            for i in range(0, len(best), step := max(1, ROWS // k)):
+                vals, who = zip(*best[i : i + step], strict=True)
+                qid = np.repeat(np.arange(first + i, first + i + len(vals)), [len(v) for v in vals])
+                yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.concat_arrays(who), pa.array(np.concatenate(vals))], ["qid", id_col, "_score"])
 
         one = part.select(*cols).mapInArrow(run, f"qid long, `{id_col}` {kind}, _score double")
         out = one if out is None else out.unionAll(one)
